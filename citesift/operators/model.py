@@ -18,6 +18,7 @@ DEFAULT_C = 0.03
 # The even grid of the inner search.
 GRID_START, GRID_STOP, GRID_POINTS = 0.01, 1.0, 200
 SELECTION_THRESHOLD = 1e-5
+ROWS_PER_TASK = 20_000
 
 
 def even_grid(points: int = GRID_POINTS) -> list[float]:
@@ -50,7 +51,7 @@ def collapse(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by, "features", "label").agg(F.count("*").alias("n"))
 
 
-def fit_l1_logistic(train: DataFrame, c: float = DEFAULT_C, max_iter: int = 300, tol: float = 1e-8) -> L1Model:
+def fit_l1_logistic(train: DataFrame, c: float = DEFAULT_C, max_iter: int = 200, tol: float = 1e-6) -> L1Model:
     """Minimise ``|coefficients, intercept|_1 + c * sum(weight * loss)``.
 
     ``train`` holds ``features``, ``label`` and optionally ``n``, the times a row
@@ -61,7 +62,8 @@ def fit_l1_logistic(train: DataFrame, c: float = DEFAULT_C, max_iter: int = 300,
     """
     count = F.col("n") if "n" in train.columns else F.lit(1)
     # Two rows.
-    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.sum(count).alias("n")).collect()}
+    classes = train.groupBy("label").agg(F.sum(count).alias("n"), F.count("*").alias("rows")).collect()
+    sizes = {r["label"]: r["n"] for r in classes}
     sign = F.when(F.pmod(F.xxhash64("features", "label"), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     extended = F.concat(F.col("features"), F.array(F.lit(1.0)))
     rows = train.withColumn("_sign", sign).select(
@@ -69,6 +71,8 @@ def fit_l1_logistic(train: DataFrame, c: float = DEFAULT_C, max_iter: int = 300,
         F.when(F.col("_sign") > 0, F.col("label")).otherwise(1 - F.col("label")).cast("double").alias("_y"),
         (balanced_weight(sizes) * count).alias("_w"),
     )
+    # Every iteration is one job: a small training set is read by few tasks.
+    rows = rows.coalesce(1 + sum(r["rows"] for r in classes) // ROWS_PER_TASK)
     solver = LogisticRegression(
         featuresCol="_x",
         labelCol="_y",

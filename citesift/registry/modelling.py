@@ -112,7 +112,7 @@ def evaluate_simple(spark, sf_dir) -> DataFrame:
 
 
 def evaluate_full(spark, sf_dir) -> DataFrame:
-    settings = evaluate.Settings("full", c=1.0, n_topics=10, lda_iterations=5)
+    settings = evaluate.Settings("full", c=0.1, n_topics=10, lda_iterations=5)
     result = evaluate.cross_validate(views.articles(spark, sf_dir), MODEL_QUERIES, settings)
     return evaluate.report(result, settings)
 
