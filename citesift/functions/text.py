@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesift.functions.words import CLOSED_CLASS, IRREGULAR_FORMS
@@ -68,12 +68,17 @@ def padded_text(tokens: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
 
-def bigrams(tokens: Column) -> Column:
-    """Adjacent pairs of the tokens that have at least two characters."""
-    words = F.filter(tokens, lambda t: F.length(t) >= 2)
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(words, F.lit(1), n),
-        F.slice(words, F.lit(2), n),
+def add_bigrams(df: DataFrame, name: str, tokens: str = "tokens") -> DataFrame:
+    """Add adjacent pairs of the tokens that have at least two characters.
+
+    Two projections: the filtered words are used several times and would be
+    computed anew for each use inside one expression.
+    """
+    words = df.withColumn("_words", F.filter(tokens, lambda t: F.length(t) >= 2))
+    n = F.greatest(F.size("_words") - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("_words", F.lit(1), n),
+        F.slice("_words", F.lit(2), n),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
+    return words.withColumn(name, pairs).drop("_words")

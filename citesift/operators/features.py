@@ -17,7 +17,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citesift.functions.text import TITLE_PREFIX, bigrams, lemmas, prefix_title
+from citesift.functions.arrays import exploded
+from citesift.functions.text import TITLE_PREFIX, add_bigrams, lemmas, prefix_title
 from citesift.operators.retrieval import Query
 
 PUBLICATION_TYPES = ("Case Report", "Clinical Trial", "Revie")
@@ -86,14 +87,14 @@ class PublicationTypes:
 def bigram_counts(records: DataFrame) -> DataFrame:
     """``article_id, bigram, n``."""
     return (
-        records.select("article_id", F.explode(bigrams(F.col("tokens"))).alias("bigram"))
+        exploded(add_bigrams(records, "_bigrams"), ["article_id"], "_bigrams", "bigram")
         .groupBy("article_id", "bigram")
         .agg(F.count("*").alias("n"))
     )
 
 
-def term_frequencies(docs: DataFrame, terms: Column) -> DataFrame:
-    """``term, df, tf`` over all documents.
+def term_frequencies(docs: DataFrame, terms: str) -> DataFrame:
+    """``term, df, tf`` over all documents, from their arrays of terms.
 
     A document's occurrences and its distinct terms are exploded together, so one
     shuffle keyed by term alone is enough, with map-side sums. Counting per
@@ -105,10 +106,9 @@ def term_frequencies(docs: DataFrame, terms: Column) -> DataFrame:
             array, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(tf).alias("tf"))
         )
 
-    arrays = docs.select(terms.alias("_terms"))
-    seen = F.concat(tagged(F.col("_terms"), 0, 1), tagged(F.array_distinct("_terms"), 1, 0))
+    seen = F.concat(tagged(F.col(terms), 0, 1), tagged(F.array_distinct(terms), 1, 0))
     return (
-        arrays.select(F.explode(seen).alias("_s"))
+        docs.select(F.explode(seen).alias("_s"))
         .select("_s.*")
         .groupBy("term")
         .agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
@@ -123,7 +123,7 @@ def tfidf_vocab(
     max_df: float = 0.5,
 ) -> DataFrame:
     """``term, df, tf`` of the most frequent bigrams inside the document-frequency band."""
-    counted = term_frequencies(records, bigrams(F.col("tokens")))
+    counted = term_frequencies(add_bigrams(records, "_bigrams"), "_bigrams")
     inside = (F.col("df") >= min_df * n_docs) & (F.col("df") <= max_df * n_docs)
     return counted.filter(inside).orderBy(F.col("tf").desc(), "term").limit(max_features)
 
@@ -152,7 +152,9 @@ class BigramTfidf:
         if not self.vocab:
             return records.withColumn(self.column, F.array().cast("array<double>"))
         counter = CountVectorizerModel.from_vocabulary(self.vocab, inputCol="_bigrams", outputCol="_counts")
-        counted = counter.transform(records.withColumn("_bigrams", bigrams(F.col("tokens"))))
+        paired = add_bigrams(records, "_all")
+        known = F.filter("_all", lambda b: b.isin(self.vocab))
+        counted = counter.transform(paired.withColumn("_bigrams", known).drop("_all"))
         smoothed = [F.log(F.lit((1 + self.n_docs) / (1 + df))) + 1 for df in self.doc_freq]
         weighted = F.zip_with(
             vector_to_array("_counts"),
@@ -189,7 +191,7 @@ def bag_of_words(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     outside it are dropped before anything is shuffled.
     """
     return (
-        records.select("article_id", F.explode("tokens").alias("term"))
+        exploded(records, ["article_id"], "tokens", "term")
         .join(F.broadcast(dictionary.select("term")), "term")
         .groupBy("article_id", "term")
         .agg(F.count("*").alias("n"))

@@ -72,7 +72,7 @@ def fit_l1_logistic(train: DataFrame, c: float = DEFAULT_C, max_iter: int = 200,
         (balanced_weight(sizes) * count).alias("_w"),
     )
     # Every iteration is one job: a small training set is read by few tasks.
-    rows = rows.coalesce(1 + sum(r["rows"] for r in classes) // ROWS_PER_TASK)
+    rows = rows.coalesce(1 + sum(r["rows"] for r in classes) // ROWS_PER_TASK).persist()
     solver = LogisticRegression(
         featuresCol="_x",
         labelCol="_y",
@@ -86,7 +86,10 @@ def fit_l1_logistic(train: DataFrame, c: float = DEFAULT_C, max_iter: int = 200,
         maxIter=max_iter,
         tol=tol,
     )
-    fitted = [float(w) for w in solver.fit(rows).coefficients.toArray()]
+    try:
+        fitted = [float(w) for w in solver.fit(rows).coefficients.toArray()]
+    finally:
+        rows.unpersist()
     return L1Model(fitted[:-1], fitted[-1], c)
 
 
@@ -106,7 +109,7 @@ def score_by_fold(df: DataFrame, models: dict[int, L1Model]) -> DataFrame:
     return df.withColumn("relevance", probability(F.col("features"), weights, intercept))
 
 
-def _run_all(tasks: Iterable, job: Callable, threads: int) -> list:
+def run_all(tasks: Iterable, job: Callable, threads: int) -> list:
     """Independent fits, submitted side by side so small jobs share the executors."""
     with ThreadPool(threads) as pool:
         return pool.map(job, list(tasks), chunksize=1)
@@ -118,7 +121,7 @@ def fit_folds(patterns: DataFrame, folds: Sequence[int], c: dict[int, float], th
     def job(fold: int) -> tuple[int, L1Model]:
         return fold, fit_l1_logistic(patterns.filter(F.col("fold") != fold), c[fold])
 
-    return dict(_run_all(folds, job, threads))
+    return dict(run_all(folds, job, threads))
 
 
 def grid_search_recall(
@@ -150,7 +153,7 @@ def grid_search_recall(
         return outer, held_out, c, model.coefficients, model.intercept
 
     try:
-        fits = _run_all([(o, i, c) for o in folds for i in range(inner_k) for c in grid], job, threads)
+        fits = run_all([(o, i, c) for o in folds for i in range(inner_k) for c in grid], job, threads)
         models = rows.sparkSession.createDataFrame(
             fits, "outer int, inner int, c double, weights array<double>, intercept double"
         )

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citesift.functions.arrays import exploded
 from citesift.operators.features import lda_dictionary
 
 
@@ -106,9 +107,7 @@ def window_counts(records: DataFrame, topic_terms: DataFrame, window: int = 110)
     # Topics times top words, a few thousand rows at most by its definition.
     terms = F.broadcast(topic_terms.select("topic", "term").distinct())
     last_start = F.greatest(F.size("tokens") - window, F.lit(0))
-    positions = records.select(
-        "article_id", last_start.alias("_last"), F.posexplode("tokens").alias("_p", "term")
-    )
+    positions = exploded(records, ["article_id", last_start.alias("_last")], "tokens", "term", "_p")
     hits = positions.join(terms, "term")
     total = (
         hits.groupBy("article_id").agg(F.first("_last").alias("_last")).agg(

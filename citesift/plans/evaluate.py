@@ -81,23 +81,26 @@ def _simple(records: DataFrame, queries: Sequence[Query], s: Settings) -> CrossV
 
 
 def _full(records: DataFrame, queries: Sequence[Query], s: Settings) -> CrossValidation:
-    """Vocabularies, topics and scaling are refitted on the training rows of each fold."""
-    spark = records.sparkSession
-    models, names, chosen, parts = {}, {}, {}, []
-    for fold in range(s.k):
+    """Vocabularies, topics and scaling are refitted on the training rows of each fold.
+
+    The folds are independent and submitted side by side.
+    """
+
+    def one(fold: int) -> tuple[int, model.L1Model, list[str], float, DataFrame]:
         train = records.filter(F.col("fold") != fold)
         fitted = feature_set("full", train, queries, s.n_topics, s.lda_iterations)
         features = durable(fitted.transform(records, KEEP), "features")
-        chosen.update(_chosen_c(features, [fold], s))
-        train_rows = features.filter(F.col("fold") != fold).select("features", "label").persist()
-        try:
-            models[fold] = model.fit_l1_logistic(train_rows, chosen[fold])
-        finally:
-            train_rows.unpersist()
-        names[fold] = fitted.names
-        parts.append(model.score(features.filter(F.col("fold") == fold), models[fold]))
-    scored = durable(model.out_of_fold_scores(parts), "scores")
-    return CrossValidation(scored, model.coefficients(spark, models, names), chosen, models)
+        c = _chosen_c(features, [fold], s)[fold]
+        rows = features.filter(F.col("fold") != fold).select("features", "label")
+        best = model.fit_l1_logistic(rows, c)
+        return fold, best, fitted.names, c, model.score(features.filter(F.col("fold") == fold), best)
+
+    done = model.run_all(range(s.k), one, s.threads)
+    models = {fold: best for fold, best, _, _, _ in done}
+    names = {fold: columns for fold, _, columns, _, _ in done}
+    chosen = {fold: c for fold, _, _, c, _ in done}
+    scored = durable(model.out_of_fold_scores([part for *_, part in done]), "scores")
+    return CrossValidation(scored, model.coefficients(records.sparkSession, models, names), chosen, models)
 
 
 def report(result: CrossValidation, settings: Settings = Settings()) -> DataFrame:

@@ -36,11 +36,7 @@ def score_new(
     rows = fitted.transform(train, ["label"])
     if kind == "simple":
         rows = model.collapse(rows)
-    rows = rows.persist()
-    try:
-        chosen = model.fit_l1_logistic(rows, c)
-    finally:
-        rows.unpersist()
+    chosen = model.fit_l1_logistic(durable(rows, "train"), c)
     return model.score(fitted.transform(new, ["article_id"]), chosen).select("article_id", "relevance")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citesift.functions.arrays import exploded
 from citesift.operators import features as feat
 from citesift.operators import feature_sets
 from citesift.operators import topics as top
@@ -62,7 +63,7 @@ def tfidf_transform(spark, sf_dir) -> DataFrame:
     records = views.records(spark, sf_dir)
     old, _ = temporal_split(records)
     family = feat.BigramTfidf.fit(old)
-    weights = family.transform(records).select("article_id", F.posexplode(family.column).alias("_i", "weight"))
+    weights = exploded(family.transform(records), ["article_id"], family.column, "weight", "_i")
     return weights.filter("weight > 0").select(
         "article_id",
         F.element_at(F.lit(family.names), F.col("_i") + 1).alias("name"),
@@ -88,7 +89,7 @@ def _topics(spark, sf_dir) -> tuple[top.Topics, DataFrame]:
 def lda_fit(spark, sf_dir) -> DataFrame:
     """Topic weights summed over the corpus, by topic."""
     model, records = _topics(spark, sf_dir)
-    weights = model.transform(records).select(F.posexplode(model.column).alias("topic", "w"))
+    weights = exploded(model.transform(records), [], model.column, "w", "topic")
     return weights.groupBy("topic").agg(F.sum("w").alias("weight"), F.count("*").alias("documents"))
 
 

@@ -14,7 +14,7 @@ from citesift.functions.words import CLOSED_CLASS, IRREGULAR_FORMS
 from citesift.operators.articles import build_records
 from citesift.operators.folds import stratified_folds
 from citesift.operators.retrieval import Query
-from citesift.session import durable
+from citesift.session import durable, spread
 
 URL_PREFIX = "https://docs.example.org/"
 
@@ -32,7 +32,7 @@ SCORE_INTERCEPT = -1.2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

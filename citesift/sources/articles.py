@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citesift.session import spread
+
 ARTICLE_SCHEMA = T.StructType(
     [
         T.StructField("url", T.StringType()),
@@ -33,7 +35,8 @@ def write_articles(articles: DataFrame, path: str, mode: str = "errorifexists")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in ARTICLE_SCHEMA])
+    table = spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in ARTICLE_SCHEMA])
+    return spread(table)
 
 
 def parse_json_map(texts: DataFrame, column: str = "value") -> DataFrame:
