@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,7 +146,16 @@ def preview_pairs(articles: DataFrame, records: DataFrame, n: int = 10, width: i
     )
 
 
-def build_records(articles: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``article_id, tokens``: prefixed title lemmas, then abstract lemmas."""
-    tokens = F.concat(prefix_title(lemmas(F.col("title"))), lemmas(F.col("abstract")))
+def build_records(
+    articles: DataFrame,
+    keep: Sequence[str | Column] = (),
+    tagger: Callable[[pd.Series], pd.Series] | None = None,
+) -> DataFrame:
+    """``article_id, tokens``: prefixed title lemmas, then abstract lemmas.
+
+    ``tagger`` replaces the built-in token filter and lemmatiser: it gets a batch of
+    texts and returns the kept lemmas of each, for users with a tagging model.
+    """
+    base = F.pandas_udf(tagger, "array<string>") if tagger else lemmas
+    tokens = F.concat(prefix_title(base(F.col("title"))), base(F.col("abstract")))
     return articles.select("article_id", *keep, tokens.alias("tokens"))

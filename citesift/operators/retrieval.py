@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesift.functions.text import padded_text, tokenize
+from citesift.operators.ordering import global_rank
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,8 @@ def retrieve(
     """``(search_term, term_idx, <id_col>)`` for every document and query that match.
 
     One scan of the text: all queries are tested on the row and the matching ones
-    exploded. ``max_results`` keeps the lowest ids of each query; the rank filter
-    is applied on the map side too, so a frequent query does not pile up.
+    exploded. ``max_results``, where a user asks for it, keeps the lowest ids of each
+    query by a distributed rank, so a frequent query is not sorted by one task.
     """
     hits = F.array_compact(
         F.array(
@@ -69,8 +70,8 @@ def retrieve(
     )
     if max_results is None:
         return matched
-    rank = F.row_number().over(Window.partitionBy("term_idx").orderBy(id_col))
-    return matched.withColumn("_rank", rank).filter(F.col("_rank") <= max_results).drop("_rank")
+    ranked = global_rank(matched, [F.col(id_col).asc()], ["term_idx"], "_rank")
+    return ranked.filter(F.col("_rank") <= max_results).select("search_term", "term_idx", id_col)
 
 
 def extract_id_date(retrieved: DataFrame) -> DataFrame:

@@ -80,15 +80,15 @@ class Topics:
         """``topic, rank, term, weight``: the top ``n`` words of every topic."""
         if self.model is None:
             return spark.createDataFrame([], "topic int, rank int, term string, weight double")
-        top = self.model.describeTopics(n)
-        vocab = F.lit(self.vocab)
-        return top.select(
+        vocab = spark.createDataFrame(list(enumerate(self.vocab)), "_index int, term string")
+        top = self.model.describeTopics(n).select(
             "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t")
-        ).select(
-            "topic",
-            (F.col("rank") + 1).alias("rank"),
-            F.element_at(vocab, F.col("_t.termIndices") + 1).alias("term"),
-            F.col("_t.termWeights").alias("weight"),
+        )
+        # The smaller side has n rows per topic.
+        return (
+            F.broadcast(top.withColumn("_index", F.col("_t.termIndices")))
+            .join(vocab, "_index")
+            .select("topic", (F.col("rank") + 1).alias("rank"), "term", F.col("_t.termWeights").alias("weight"))
         )
 
 

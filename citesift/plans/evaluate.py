@@ -118,7 +118,7 @@ def curve_points(scores: DataFrame) -> DataFrame:
     """``plot, fold, x, y``: precision-recall envelopes and gain steps, per fold and overall."""
     parts = []
     for by, name in ((("fold",), F.concat(F.lit("fold"), F.col("fold") + 1)), ((), F.lit("overall"))):
-        levels = curves.score_levels(scores, by)
+        levels = durable(curves.score_levels(scores, by), "levels")
         envelope = curves.pr_envelope(curves.pr_curve(levels, by), by)
         steps = curves.step_points(curves.gain_curve(levels, by), by)
         parts.append(

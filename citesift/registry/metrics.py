@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.operators import curves, folds, metrics
+from citesift.plans import evaluate
 from citesift.registry import views
 from citesift.session import scratch_path
 from citesift.sources import articles as files
@@ -133,18 +134,8 @@ def micro_average(spark, sf_dir) -> DataFrame:
 
 def write_curves(spark, sf_dir) -> DataFrame:
     """Both curves of every fold and of all folds, written out and read back."""
-    scores = views.scores(spark, sf_dir, True)
-    parts = []
-    for by, name in ((PER_FOLD, F.concat(F.lit("fold"), F.col("fold") + 1)), (OVERALL, F.lit("overall"))):
-        levels = curves.score_levels(scores, by)
-        envelope = curves.pr_envelope(curves.pr_curve(levels, by), by)
-        parts.append(envelope.select(F.lit("plot1").alias("plot"), name.alias("fold"),
-                                     F.col("recall").alias("x"), F.col("precision").alias("y")))
-        steps = curves.step_points(curves.gain_curve(levels, by), by)
-        parts.append(steps.select(F.lit("plot2").alias("plot"), name.alias("fold"), "x", "y"))
     path = scratch_path(spark, "curves")
-    together = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    files.write_curves(together, path)
+    files.write_curves(evaluate.curve_points(views.scores(spark, sf_dir, True)), path)
     return _round(files.read_curves(spark, path), "x", "y")
 
 

@@ -180,3 +180,42 @@ def test_files(spark, tmp_path):
     titles = table.select("title")
     files.write_label_file(titles, str(tmp_path / "titles"))
     assert rows(files.read_label_file(spark, str(tmp_path / "titles")), "title") == rows(titles, "title")
+
+
+def test_own_tagger_replaces_the_built_in_one(spark):
+    df = spark.createDataFrame([(1, "A B", "c D"), (2, "", None)], "article_id long, title string, abstract string")
+    got = ops.build_records(df, tagger=lambda texts: texts.fillna("").str.lower().str.split())
+    assert rows(got, "article_id", "tokens") == [(1, ["title_a", "title_b", "c", "d"]), (2, [])]
+
+
+def test_jobs(spark, tmp_path, monkeypatch):
+    """The three jobs one after the other, from records and pages to ranked tables."""
+    from citesift import __main__ as jobs
+
+    n = 120
+    records = [("q", 0, i, f"{i}\n9{i}", f"20{19 + i % 2}-5-{1 + i % 28}") for i in range(n)]
+    words = lambda i: "alpha risk" if i % 4 == 0 else "beta gamma"
+    pages = [
+        (f"https://x.org/{i}/",
+         f'<h1 class="heading-title">Study {i} {words(i)}</h1><div id="enc-abstract">text {i} {words(i)}</div>')
+        for i in range(n)
+    ]
+    schema = "search_term string, term_idx int, ord int, pubmed_id string, publication_date string"
+    spark.createDataFrame(records, schema).write.parquet(str(tmp_path / "retrieved"))
+    spark.createDataFrame(pages, "url string, html string").write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "titles.csv").write_text("title\n" + "\n".join(f"Study {i} {words(i)}" for i in range(0, n, 8)) + "\n")
+    (tmp_path / "queries.json").write_text(json.dumps([["q", [["alpha"], ["risk*"]]]]))
+
+    def run(*args):
+        monkeypatch.setattr("sys.argv", ["citesift", *map(str, args)])
+        jobs.main()
+
+    run("build", "--retrieved", tmp_path / "retrieved", "--pages", tmp_path / "pages", "--url-prefix", "https://x.org/",
+        "--titles", tmp_path / "titles.csv", "--out", tmp_path / "table")
+    table = files.read_articles(spark, str(tmp_path / "table"))
+    assert (table.count(), table.filter("relevant = 1").count()) == (n, n // 8)
+    common = ("--articles", tmp_path / "table", "--queries", tmp_path / "queries.json")
+    run("evaluate", *common, "--grid-points", 2, "--out", tmp_path / "report")
+    assert spark.read.parquet(str(tmp_path / "report/scores")).count() == n // 2
+    run("update", *common, "--out", tmp_path / "tables")
+    assert spark.read.json(str(tmp_path / "tables/new_articles")).count() == n // 2

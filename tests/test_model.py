@@ -11,6 +11,7 @@ from citesift.operators.topics import Topics, topic_coherence, window_counts
 from citesift.plans import evaluate, update
 from citesift.registry import views
 from citesift.registry.modelling import MODEL_QUERIES
+from citesift.sources.models import load_model, save_model
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -193,3 +194,17 @@ def test_new_documents_are_ranked(spark, simple, tmp_path):
     update.save_tables(scored, simple.scores, articles, str(tmp_path / "tables"))
     table = spark.read.json(str(tmp_path / "tables/new_articles"))
     assert [r["rank"] for r in table.orderBy("rank").collect()] == list(range(1, new.count() + 1))
+
+
+@pytest.mark.parametrize("kind", ["simple", "full"])
+def test_saved_model_scores_alike(spark, tmp_path, kind):
+    records = views.labelled_records(spark, SF_DIR)
+    fitted = feature_set(kind, records, MODEL_QUERIES, n_topics=3, lda_iterations=2, no_below=5)
+    rows = fitted.transform(records, ["article_id", "label"])
+    best = model.fit_l1_logistic(rows, 0.5)
+    save_model(spark, fitted, best, str(tmp_path / "m"))
+    features, again = load_model(spark, str(tmp_path / "m"))
+    one = model.score(rows, best).select("article_id", F.col("relevance").alias("r1"))
+    two = model.score(features.transform(records, ["article_id"]), again).join(one, "article_id")
+    assert two.agg(F.max(F.abs(F.col("relevance") - F.col("r1")))).first()[0] < 1e-9
+    assert features.names == fitted.names
