@@ -11,19 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citesift.operators.ordering import global_rank, running_sums
+from citesift.operators.ordering import attach, global_rank, running_sums
+from citesift.session import durable
 
 
 def score_levels(scores: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
     """Per distinct score: rows ``n``, positives ``pos``, and both cumulated from
     the highest score down (``cum_n``, ``cum_pos``), with the group's ``all_n``,
-    ``all_pos``."""
+    ``all_pos``. Stored: every curve and area reads it, some more than once."""
     levels = scores.groupBy(*by, "relevance").agg(
         F.count("*").alias("n"), F.sum("label").cast("long").alias("pos")
     )
     cumulated = running_sums(levels, [F.col("relevance").desc()], {"cum_n": "n", "cum_pos": "pos"}, by)
     totals = cumulated.groupBy(*by).agg(F.max("cum_n").alias("all_n"), F.max("cum_pos").alias("all_pos"))
-    return cumulated.join(totals, list(by)) if by else cumulated.join(F.broadcast(totals))
+    return durable(attach(cumulated, totals, by), "levels")
 
 
 def pr_curve(levels: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:

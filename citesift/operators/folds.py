@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesift.operators.ordering import hash_rank
@@ -22,14 +22,9 @@ def stratified_folds(
     most one row overall.
     """
     ranked = hash_rank(df, seed, id_col, [label], "_rank")
-    negatives = df.filter(F.col(label) == 0).agg(F.count("*").alias("_negatives"))
-    start = F.when(F.col(label) == 1, F.col("_negatives")).otherwise(0)
-    # One row on the broadcast side.
-    return (
-        ranked.join(F.broadcast(negatives))
-        .withColumn("fold", ((F.col("_rank") + start) % k).cast("int"))
-        .drop("_rank", "_negatives")
-    )
+    negatives = df.filter(F.col(label) == 0).agg(F.count("*").alias("n")).scalar()
+    start = F.when(F.col(label) == 1, negatives).otherwise(0)
+    return ranked.withColumn("fold", ((F.col("_rank") + start) % k).cast("int")).drop("_rank")
 
 
 def kfold(
@@ -46,12 +41,12 @@ def fold_sizes(df: DataFrame, label: str = "label") -> DataFrame:
     test = df.groupBy("fold").agg(
         F.count_if(F.col(label) == 0).alias("test_0"), F.count_if(F.col(label) == 1).alias("test_1")
     )
-    total = test.agg(F.sum("test_0").alias("_all_0"), F.sum("test_1").alias("_all_1"))
-    # One row on the broadcast side.
-    return test.join(F.broadcast(total)).select(
+    # One row per fold.
+    everything = Window.partitionBy()
+    return test.select(
         "fold",
-        (F.col("_all_0") - F.col("test_0")).alias("train_0"),
-        (F.col("_all_1") - F.col("test_1")).alias("train_1"),
+        (F.sum("test_0").over(everything) - F.col("test_0")).alias("train_0"),
+        (F.sum("test_1").over(everything) - F.col("test_1")).alias("train_1"),
         "test_0",
         "test_1",
     )
@@ -60,10 +55,10 @@ def fold_sizes(df: DataFrame, label: str = "label") -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """``label, n, weight`` with the balanced weight ``rows / (classes * n)``."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_rows"), F.count("*").alias("_classes"))
-    return counts.join(F.broadcast(total)).select(
-        label, "n", (F.col("_rows") / (F.col("_classes") * F.col("n"))).alias("weight")
-    )
+    # One row per class.
+    everything = Window.partitionBy()
+    rows, classes = F.sum("n").over(everything), F.count("*").over(everything)
+    return counts.select(label, "n", (rows / (classes * F.col("n"))).alias("weight"))
 
 
 def balanced_weight(sizes: dict[int, float], label: str = "label") -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citesift.operators.ordering import attach
+
 CUTOFF = 0.26
 
 
@@ -86,7 +88,7 @@ def score_histogram(
         )
     width = (F.col("_hi") - F.col("_lo")) / bins
     scaffold = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    joined = counts.join(ranges, list(by)) if by else counts.join(F.broadcast(ranges))
+    joined = attach(counts, ranges, by)
     place = F.least(F.floor((F.col("relevance") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     filled = (
         joined.filter((F.col("relevance") >= F.col("_lo")) & (F.col("relevance") <= F.col("_hi")))

@@ -87,6 +87,17 @@ def running_sums(
     )
 
 
+def attach(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the columns of ``totals``, which has one row per group, or just one row.
+
+    The single row comes as a scalar subquery, without a join.
+    """
+    if by:
+        return df.join(totals, list(by))
+    row = totals.select(F.struct("*").alias("row")).scalar()
+    return df.withColumns({c: row[c] for c in totals.columns})
+
+
 def hash_rank(
     df: DataFrame,
     seed: int,

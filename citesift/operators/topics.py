@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from citesift.functions.arrays import exploded
 from citesift.operators.features import lda_dictionary
+from citesift.operators.ordering import attach
+from citesift.session import durable
 
 
 @dataclass
@@ -108,7 +110,8 @@ def window_counts(records: DataFrame, topic_terms: DataFrame, window: int = 110)
     terms = F.broadcast(topic_terms.select("topic", "term").distinct())
     last_start = F.greatest(F.size("tokens") - window, F.lit(0))
     positions = exploded(records, ["article_id", last_start.alias("_last")], "tokens", "term", "_p")
-    hits = positions.join(terms, "term")
+    # Only the positions of topic words; stored, as they are read for both results.
+    hits = durable(positions.join(terms, "term"), "hits")
     total = (
         hits.groupBy("article_id").agg(F.first("_last").alias("_last")).agg(
             F.coalesce(F.sum(F.col("_last") + 1), F.lit(0)).alias("n_windows")
@@ -153,7 +156,7 @@ def topic_coherence(records: DataFrame, topic_terms: DataFrame, window: int = 11
     """``topic, coherence``: normalised pointwise mutual information vectors of the
     words against the vector of their topic, by cosine, averaged over the words."""
     eps = 1e-12
-    pairs, total = window_counts(records, topic_terms, window)
+    pairs, total = (durable(df, "windows") for df in window_counts(records, topic_terms, window))
     single = pairs.filter("term_a = term_b").select("topic", F.col("term_a").alias("term"), F.col("windows").alias("w"))
     words = topic_terms.select("topic", "term").distinct().join(single, ["topic", "term"], "left").na.fill(0, ["w"])
     mirrored = pairs.unionByName(
@@ -166,8 +169,8 @@ def topic_coherence(records: DataFrame, topic_terms: DataFrame, window: int = 11
         words.select("topic", F.col("term").alias("term_a"), F.col("w").alias("w_a"))
         .join(words.select("topic", F.col("term").alias("term_b"), F.col("w").alias("w_b")), "topic")
         .join(mirrored, ["topic", "term_a", "term_b"], "left")
-        .join(F.broadcast(total))
     )
+    grid = attach(grid, total, ())
     n = F.col("n_windows")
     joint = F.coalesce("windows", F.lit(0)) / n
     # A word that never occurs has no information about any other.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesift.functions.arrays import exploded
@@ -107,14 +107,14 @@ def topic_coherence(spark, sf_dir) -> DataFrame:
     """Coherence of given topics: the forty most widespread dictionary terms, in tens."""
     records = views.records(spark, sf_dir)
     common = feat.lda_dictionary(records, records.count(), keep_n=40)
-    rank = F.row_number().over(top.Window.orderBy(F.col("df").desc(), "term"))
-    given = common.select(F.floor((rank - 1) / 10).cast("int").alias("topic"), "term")
+    rank = F.row_number().over(Window.orderBy(F.col("df").desc(), "term"))
+    given = durable(common.select(F.floor((rank - 1) / 10).cast("int").alias("topic"), "term"), "topics")
     return top.topic_coherence(records, given).withColumn("coherence", F.round("coherence", 6))
 
 
 def model_coherence(spark, sf_dir) -> DataFrame:
     model, records = _topics(spark, sf_dir)
-    return top.topic_coherence(records, model.terms(spark, 20))
+    return top.topic_coherence(records, durable(model.terms(spark, 20), "topics"))
 
 
 def combine(spark, sf_dir) -> DataFrame:
