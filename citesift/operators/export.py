@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.operators.ordering import global_rank
 
 
+def errors(pred: DataFrame) -> DataFrame:
+    """``article_id, relevance, kind``: the wrong predictions, FN or FP."""
+    kind = F.when(F.col("label") == 1, "FN").otherwise("FP")
+    return pred.filter(F.col("label") != F.col("pred")).select("article_id", "relevance", kind.alias("kind"))
+
+
 def misclassified(pred: DataFrame, articles: DataFrame) -> DataFrame:
     """Wrong predictions with ``kind`` FN or FP, joined to their articles."""
-    kind = F.when(F.col("label") == 1, "FN").otherwise("FP")
-    wrong = pred.filter(F.col("label") != F.col("pred")).select("article_id", "relevance", kind.alias("kind"))
-    return wrong.join(articles, "article_id")
+    return errors(pred).join(articles, "article_id")
 
 
 def _plain(column: str):
@@ -20,12 +26,14 @@ def _plain(column: str):
 
 
 def export_rows(scored: DataFrame) -> DataFrame:
-    """``article_id, url, date, title, abstract, relevance`` as text, two decimals.
+    """``url, date, title, abstract, relevance`` as text, relevance with two decimals.
 
-    Rounds half to even. ``score`` keeps the unrounded number to order by.
+    Rounds half to even. ``article_id``, and ``rank`` and ``kind`` where present, stay;
+    ``score`` keeps the unrounded number to order by.
     """
     return scored.select(
         "article_id",
+        *[c for c in ("rank", "kind") if c in scored.columns],
         "url",
         F.date_format("publication_date", "dd MMMM, yyyy").alias("date"),
         _plain("title").alias("title"),
@@ -35,9 +43,16 @@ def export_rows(scored: DataFrame) -> DataFrame:
     )
 
 
-def ranked_export(rows: DataFrame) -> DataFrame:
-    """Add ``rank`` by falling score; the rank replaces the order of a file."""
-    return global_rank(rows, [F.col("score").desc(), F.col("article_id").asc()])
+def rank_scores(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``rank`` by falling relevance; it replaces the order of a file."""
+    return global_rank(scores, [F.col("relevance").desc(), F.col("article_id").asc()], by)
+
+
+def ranked_export(scores: DataFrame, articles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Export rows with their rank. Ids and scores are ranked before the texts are
+    joined, so no text is sampled, sorted or stored for it."""
+    narrow = scores.select("article_id", "relevance", *by)
+    return export_rows(rank_scores(narrow, by).join(articles, "article_id"))
 
 
 def display_fields(rows: DataFrame, width: int = 150) -> DataFrame:

@@ -40,21 +40,17 @@ def score_new(
     return model.score(fitted.transform(new, ["article_id"]), chosen).select("article_id", "relevance")
 
 
-def ranked_table(scores: DataFrame, articles: DataFrame) -> DataFrame:
-    """Export rows of the scored articles in falling order, numbered from 1."""
-    return export.ranked_export(export.export_rows(scores.join(articles, "article_id")))
-
-
 def error_tables(scores: DataFrame, articles: DataFrame, cutoff: float = ERROR_CUTOFF) -> dict[str, DataFrame]:
     """False negatives and false positives of the out-of-fold scores, ranked."""
-    wrong = export.misclassified(metrics.classify(scores, cutoff), articles)
+    wrong = export.errors(metrics.classify(scores, cutoff))
+    ranked = export.ranked_export(wrong, articles, ("kind",))
     return {
-        name: export.ranked_export(export.export_rows(wrong.filter(F.col("kind") == kind)))
+        name: ranked.filter(F.col("kind") == kind).drop("kind")
         for name, kind in (("false_negatives", "FN"), ("false_positives", "FP"))
     }
 
 
 def save_tables(new_scores: DataFrame, scores: DataFrame, articles: DataFrame, path: str) -> None:
-    write_ranked(ranked_table(new_scores, articles), f"{path}/new_articles")
+    write_ranked(export.ranked_export(durable(new_scores, "scores"), articles), f"{path}/new_articles")
     for name, table in error_tables(scores, articles).items():
         write_ranked(table, f"{path}/{name}")

@@ -10,12 +10,9 @@ from citesift.operators.articles import temporal_split
 from citesift.plans import update
 from citesift.registry import views
 from citesift.registry.modelling import MODEL_QUERIES
-from citesift.session import scratch_path
+from citesift.session import durable, scratch_path
 from citesift.sources.articles import write_ranked
 
-_EXPORTED = ["article_id", "url", "date", "title", "abstract", "relevance", "score"]
-
-
 def _wrong(spark, sf_dir) -> DataFrame:
     pred = metrics.classify(views.scores(spark, sf_dir, True), 0.4)
     return export.misclassified(pred, views.articles(spark, sf_dir))
@@ -25,19 +22,26 @@ def misclassified(spark, sf_dir) -> DataFrame:
     return _wrong(spark, sf_dir).select("article_id", "kind", "relevance", "url", "title")
 
 
-def _new_rows(spark, sf_dir) -> DataFrame:
+def _new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Scores and articles from the cut-off date on."""
     _, new = temporal_split(views.articles(spark, sf_dir))
-    return export.export_rows(views.scored(spark, sf_dir, True).join(new, "article_id"))
+    return views.scored(spark, sf_dir, True).join(new.select("article_id"), "article_id", "left_semi"), new
+
+
+def _new_rows(spark, sf_dir) -> DataFrame:
+    scores, new = _new(spark, sf_dir)
+    return export.export_rows(scores.join(new, "article_id"))
 
 
 def export_rows(spark, sf_dir) -> DataFrame:
-    return _new_rows(spark, sf_dir).select(*_EXPORTED)
+    return _new_rows(spark, sf_dir)
 
 
 def ranked_export(spark, sf_dir) -> DataFrame:
     """The new articles, written as ranked JSON rows and read back."""
     path = scratch_path(spark, "new-articles")
-    ranked = export.ranked_export(_new_rows(spark, sf_dir).select(*_EXPORTED))
+    scores, new = _new(spark, sf_dir)
+    ranked = export.ranked_export(durable(scores, "scores"), new)
     write_ranked(ranked, path)
     return spark.read.schema(ranked.schema).json(path)
 
@@ -59,8 +63,8 @@ def display_fields(spark, sf_dir) -> DataFrame:
 
 
 def paginate(spark, sf_dir) -> DataFrame:
-    ranked = export.ranked_export(_new_rows(spark, sf_dir).select("article_id", "score"))
-    return export.paginate(ranked).select("article_id", "rank", "page")
+    scores, _ = _new(spark, sf_dir)
+    return export.paginate(export.rank_scores(durable(scores, "scores"))).select("article_id", "rank", "page")
 
 
 def page_count(spark, sf_dir) -> DataFrame:
