@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from citesift.operators import articles as ops
 from citesift.operators import retrieval as ret
-from citesift.sources.pages import Selector, html_field, html_list_field
+from citesift.sources.pages import Selector, html_field, html_list_field, list_section
 
 # Where the article pages keep their fields.
 TITLE = Selector(css_class="heading-title")
 ABSTRACT = Selector(element_id="enc-abstract")
 TYPE_BUTTON = Selector(tag="button")
+TYPE_SECTION = "publication-types"
 
 
 def articles_from_pages(
@@ -24,6 +25,7 @@ def articles_from_pages(
     title: Selector = TITLE,
     abstract: Selector = ABSTRACT,
     types: Selector = TYPE_BUTTON,
+    types_section: str = TYPE_SECTION,
 ) -> DataFrame:
     """Merge query results and extract their articles from fetched pages.
 
@@ -36,7 +38,7 @@ def articles_from_pages(
     return found.join(pages, "url").select(
         "url",
         "publication_date",
-        html_list_field(html, types).alias("publication_types"),
+        html_list_field(list_section(html, types_section), types).alias("publication_types"),
         html_field(html, title).alias("title"),
         html_field(html, abstract).alias("abstract"),
         F.col("pubmed_id").alias("ord"),

@@ -55,3 +55,12 @@ def html_field(html: Column, selector: Selector) -> Column:
 def html_list_field(html: Column, selector: Selector) -> Column:
     """The texts, each followed by ``;``."""
     return F.array_join(F.transform(element_texts(html, selector), lambda t: F.concat(t, F.lit(";"))), "")
+
+
+def list_section(html: Column, element_id: str, list_tag: str = "ul") -> Column:
+    """Content of the first list inside the element with the id; empty if there is none.
+
+    The element itself may hold nested elements of its own name before the list ends.
+    """
+    opening = rf"\sid\s*=\s*[\"']?{re.escape(element_id)}[\"'\s>]"
+    return F.regexp_extract(html, rf"(?is){opening}.*?<{list_tag}\b[^>]*>(.*?)</{list_tag}\s*>", 1)

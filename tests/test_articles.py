@@ -115,10 +115,12 @@ def test_articles_from_pages(spark):
         [("q", 0, 1, "9", "2020")],
         "search_term string, term_idx int, ord int, pubmed_id string, publication_date string",
     )
-    html = '<h1 class="heading-title">T</h1><div id="enc-abstract">A</div><button>Review</button>'
+    html = '<h1 class="heading-title">T</h1><div id="enc-abstract">A</div><button>Share</button>'
+    html += '<div class="k" id="publication-types"><h3>Types</h3><ul><li><div><button>Review</button></div></li>'
+    html += "<li><div><button>Case Reports</button></div></li></ul></div><ul><li><button>Cite</button></li></ul>"
     pages = spark.createDataFrame([("https://x.org/9/", html)], "url string, html string")
     found = articles_from_pages(retrieved, pages, "https://x.org/")
-    assert rows(found, "url", "title", "abstract", "publication_types") == [("https://x.org/9/", "T", "A", "Review;")]
+    assert rows(found, "url", "title", "abstract", "publication_types") == [("https://x.org/9/", "T", "A", "Review;Case Reports;")]
 
 
 def test_dedup_keeps_map_side_limit_and_hot_title(spark):
