@@ -16,9 +16,10 @@ special care, and all other columns pass through.
 
 from __future__ import annotations
 
-import heapq
 import json
+import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -27,8 +28,9 @@ from pyspark.sql import types as T
 
 # The usual pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]|\0|^[ \n]|[ \n]\Z|[.,][^\w\s]|[^\w][.,]|_[.,]|[.,]_|^[.,]|[.,]\w")
 # Pieces remembered per worker, and the longest piece that is remembered.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 CACHE_LENGTH = 48
 
 
@@ -51,16 +53,20 @@ class Vocabulary:
         letters = byte_letters()
         code = {c: b for b, c in letters.items()}
         self.byte_id = [ids[letters[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # Left id -> right id -> rank; rank -> the merged id.
+        self.ranks: dict[int, dict[int, int]] = {i: {} for i in ids.values()}
+        self.merged: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.ranks[ids[left]][ids[right]] = rank
+            self.merged.append(ids[left + right])
         self.bytes: dict[int, bytes] = {i: bytes(code[c] for c in s) for s, i in ids.items()}
         self.bytes.update({i: s.encode() for s, i in self.special.items()})
         self._split = regex.compile(PATTERN)
         strings = sorted(self.special, key=len, reverse=True)
         self._specials = regex.compile("|".join(map(regex.escape, strings))) if strings else None
-        self._cache: dict[str, list[int]] = {}
+        self._cache: dict[str, tuple[int, ...]] = {}
+        self._numbers = list(range(max(self.bytes) + 1))
 
     @classmethod
     def read(cls, path: str) -> tuple[str, Vocabulary]:
@@ -69,51 +75,76 @@ class Vocabulary:
         return spec, cls(spec)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
-        symbols = [self.byte_id[b] for b in piece]
+        """Ids of one piece.
+
+        A queue entry is ``rank * n + position``; ``entry`` holds the one that
+        counts for each position, all others are stale.
+        """
+        symbols = list(map(self.byte_id.__getitem__, piece))
         n = len(symbols)
-        if n < 2:
+        ranks, merged = self.ranks, self.merged
+        entry = [-1] * n
+        queue = []
+        for i in range(n - 1):
+            rank = ranks[symbols[i]].get(symbols[i + 1])
+            if rank is not None:
+                entry[i] = rank * n + i
+                queue.append(entry[i])
+        if not queue:
             return symbols
         following = list(range(1, n + 1))
         previous = list(range(-1, n - 1))
-        merges = self.merges
-        queue = []
-        for i in range(n - 1):
-            found = merges.get((symbols[i], symbols[i + 1]))
-            if found:
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
-        heapq.heapify(queue)
+        heapify(queue)
         while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
-            j = following[i]
-            # Stale: one of the two symbols has been merged since the entry was made.
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            top = heappop(queue)
+            i = top % n
+            if entry[i] != top:
                 continue
-            symbols[i], symbols[j] = merged, -1
+            j = following[i]
             k = following[i] = following[j]
+            symbol = symbols[i] = merged[top // n]
+            symbols[j] = entry[j] = entry[i] = -1
             if k < n:
                 previous[k] = i
-                found = merges.get((merged, symbols[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, merged, symbols[k], found[1]))
+                rank = ranks[symbol].get(symbols[k])
+                if rank is not None:
+                    entry[i] = rank * n + i
+                    heappush(queue, entry[i])
             h = previous[i]
             if h >= 0:
-                found = merges.get((symbols[h], merged))
-                if found:
-                    heapq.heappush(queue, (found[0], h, symbols[h], merged, found[1]))
+                rank = ranks[symbols[h]].get(symbol)
+                if rank is None:
+                    entry[h] = -1
+                else:
+                    entry[h] = rank * n + h
+                    heappush(queue, entry[h])
         return [s for s in symbols if s >= 0]
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        ids = []
+        for piece in self._split.findall(part):
+            ids += self.merge(piece.encode())
+        # The same number objects everywhere: an entry is then a tuple of references.
+        kept = tuple(map(self._numbers.__getitem__, ids))
+        if len(part) <= CACHE_LENGTH:
+            if len(self._cache) >= CACHE_ENTRIES:
+                self._cache.clear()
+            self._cache[part] = kept
+        return kept
+
     def _plain(self, text: str, out: list[int]) -> None:
-        cache = self._cache
-        for piece in self._split.findall(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode())
-                if len(piece) <= CACHE_LENGTH:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[piece] = ids
-            out.extend(ids)
+        # Where white space is single blanks and line ends, and points and commas
+        # follow words, the pattern always splits before them, so that the parts
+        # between can be looked up whole.
+        if _UNEVEN.search(text):
+            parts = self._split.findall(text)
+        else:
+            text = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,")
+            parts = text.split("\0")
+        get = self._cache.get
+        for part in parts:
+            ids = get(part)
+            out += self._part(part) if ids is None else ids
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
