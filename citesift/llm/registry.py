@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import decontaminate, line_dedup, minhash_dedup, stages, toxicity
+from citesift.llm import (
+    decontaminate,
+    embedding_dedup,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    minhash_dedup,
+    pii,
+    stages,
+    toxicity,
+    url_filter,
+)
 from citesift.llm.common import ROW_KEY, keyed, words
 
 
@@ -22,11 +33,33 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+# A user gives a secret of their own.
+PII_KEY = b"registered query"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, PII_KEY)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -42,6 +75,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = keyed(docs, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    return counted.join(license_scan.scan(docs), ROW_KEY, "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
+        "first_word",
+        "last_word",
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"),
+        F.coalesce("labels", F.lit("")).alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
@@ -57,8 +105,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_url_filters": op3_url_filters,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
+    "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -82,6 +135,7 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from marked group by r, doc_id
 """,
+    "op3_url_filters": url_filter.sql(),
     "op8_decontamination": rf"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
 i as (select item_id, {_WORDS} as ws from benchmark),
