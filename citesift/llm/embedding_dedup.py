@@ -165,22 +165,23 @@ def _links(classes: DataFrame, axes: np.ndarray, threshold: float) -> DataFrame:
     placed = durable(_placed(classes, axes, float(np.sqrt(2 - 2 * threshold)) + SLACK), "vectors-placed")
     rows, pairs = tile_pairs(placed)
     pairs = durable(pairs.withColumn("pair", F.xxhash64("a", "b")), "tile-pairs")
-    sides = pairs.select("pair", F.col("a").alias("tile"), F.lit(0).alias("side")).unionAll(
-        pairs.filter("a <> b").select("pair", F.col("b").alias("tile"), F.lit(1).alias("side"))
-    )
+    crossed = pairs.filter("a <> b").select("pair", F.col("b").alias("tile"), F.lit(1).alias("side"), F.lit(True).alias("crossed"))
+    sides = pairs.select("pair", F.col("a").alias("tile"), F.lit(0).alias("side"), F.expr("a <> b").alias("crossed"))
+    sides = sides.unionAll(crossed)
     shared = classes.sparkSession.sparkContext.broadcast(axes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         a = group[group["side"] == 0].reset_index(drop=True)
         b = group[group["side"] == 1].reset_index(drop=True)
-        if not len(a):
+        if not len(a) or not len(b) and group["crossed"].any():
+            # One of two tiles is empty.
             return pd.DataFrame({"cls": [], "n": [], "other": []})
         i, j = compare(a, b if len(b) else None, shared.value, threshold)
         inside = not len(b)
         second = a if inside else b
         n = len(a) + (0 if inside else len(b))
         shift = 0 if inside else len(a)
-        cls = np.concatenate([a["cls"].to_numpy(), [] if inside else b["cls"].to_numpy()]).astype(np.int64)
+        cls = a["cls"].to_numpy() if inside else np.concatenate([a["cls"].to_numpy(), b["cls"].to_numpy()])
         counts = np.bincount(i, weights=second["copies"].to_numpy()[j], minlength=n)
         counts += np.bincount(j + shift, weights=a["copies"].to_numpy()[i], minlength=n)
         used = np.flatnonzero(counts)
@@ -189,7 +190,7 @@ def _links(classes: DataFrame, axes: np.ndarray, threshold: float) -> DataFrame:
         more = pd.DataFrame({"cls": [cls[x] for x, _ in edges], "n": 0, "other": [cls[y] for _, y in edges]})
         return pd.concat([out, more], ignore_index=True) if edges else out
 
-    sided = rows.join(sides, "tile").select("pair", "side", "cls", "v", "copies")
+    sided = rows.join(sides, "tile").select("pair", "side", "crossed", "cls", "v", "copies")
     return sided.groupBy("pair").applyInPandas(run, "cls long, n long, other long")
 
 
