@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,27 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """``durable``, for a table that ``release`` deletes once later tables no longer need it."""
+    kept = durable(df, name)
+    files = kept.inputFiles()
+    kept.scratch_path = os.path.dirname(files[0]) if files else None
+    return kept
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete scratch tables. Only for tables that no frame in use reads any more."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            table.scratch_path = None
+
+
 # Stands for a null id in row keys; the digest tells it from a real one.
 _NO_ID = -(2**63)
 
@@ -70,11 +93,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     points from a leaf to its smallest node, after a logarithmic number of steps
     in practice.
     """
-    edges = durable(
+    edges = scratch(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
     )
     while True:
-        edges = durable(_small_star(_large_star(edges)), name)
+        before, edges = edges, scratch(_small_star(_large_star(edges)), name)
+        release(before)
         seen = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionAll(
             edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
         )

@@ -3,11 +3,12 @@
 One permutation spreads the shingles over a universe of ``UNIVERSE`` places; a
 second one, shifted circularly by k, gives the k-th signature coordinate. The
 coordinates are cut into ``BANDS`` bands of ``ROWS``. Two sets of similarity 0.75
-share no band with a chance of (1 - 0.75**3)**24, about 2e-6.
+share no band with a chance of (1 - 0.75**4)**36, about 1e-6.
 
 Texts with equal sets are one class from the start, so copies are never compared.
 Within a bucket (the classes that share a band) only stars are compared: a centre
-with every class not yet in its component. Centres that have met all others leave
+with every class not yet in its component; centres are the classes that share most
+buckets with others, such as the text that copies were made from. Centres that have met all others leave
 the bucket, and the rounds go on until no bucket holds two components. So no pair
 that could join two components is left out, all pairs of a bucket are never
 listed, and large buckets shrink to one component in the first round or two. The
@@ -33,16 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citesift.llm.common import ROW_KEY, components, keyed, packed, unpacked
+from citesift.llm.common import ROW_KEY, components, keyed, packed, release, scratch, unpacked
 from citesift.session import durable
 
 SHINGLE = 5
 PERCENT = 75
-BANDS = 24
-ROWS = 3
+BANDS = 36
+ROWS = 4
 # Bands of the first round, and centres a bucket has in later rounds.
-FIRST_BANDS = 4
-CENTRES = 16
+FIRST_BANDS = 6
+CENTRES = 64
 UNIVERSE = 1 << 20
 SEED = 20240611
 # Words remembered per worker, and shingles handled at once.
@@ -185,13 +186,13 @@ def _components_of(links: DataFrame, known: DataFrame | None) -> DataFrame:
     merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     merged = merged.select(F.col("node").alias("comp"), F.col("component").alias("to"))
     if known is None:
-        return durable(merged.select(F.col("comp").alias("cls"), F.col("to").alias("comp")), "near-components")
+        return scratch(merged.select(F.col("comp").alias("cls"), F.col("to").alias("comp")), "near-components")
     old = known.join(merged, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp"))
     # Classes that were alone so far.
     new = merged.join(known, merged["comp"] == known["cls"], "left_anti").select(
         F.col("comp").alias("cls"), F.col("to").alias("comp")
     )
-    return durable(old.unionAll(new), "near-components")
+    return scratch(old.unionAll(new), "near-components")
 
 
 def linked(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
@@ -200,18 +201,25 @@ def linked(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         rows.filter("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
     )
     banded = classes.select("cls", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
-    members = durable(banded.join(shared.select("key"), "key").select("key", "cls", "band"), "near-buckets")
+    shared = banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n"))
+    members = scratch(banded.join(shared.filter("lo <> hi").select("key", "n"), "key"), "near-buckets")
     if members.isEmpty():
         return None
-    sets = durable(_sets(docs, rows, members.select("cls").distinct()), "near-sets")
-    known = None
-    first = members.filter(F.col("band") < FIRST_BANDS).select("key", "cls")
-    known, _ = _round(first, known, sets, 0, 1)
-    left, turn = members.select("key", "cls"), 1
+    # How many meetings a class has; the low bits tell equal ones apart.
+    weights = members.groupBy("cls").agg(F.sum("n").alias("w"))
+    weights = weights.select("cls", F.expr("w * 1048576 + (cls & 1048575)").alias("weight"))
+    weighted = scratch(members.join(weights, "cls").select("key", "cls", "band", "weight"), "near-members")
+    sets = scratch(_sets(docs, rows, weights.select("cls")), "near-sets")
+    release(members)
+    left, known = weighted.select("key", "cls", "weight"), None
+    known, first = _round(weighted.filter(F.col("band") < FIRST_BANDS).drop("band"), known, sets, 0, 1)
+    release(first)
+    turn = 1
     while left is not None:
-        known, left = _round(left, known, sets, turn, 1 if turn == 1 else CENTRES)
-        turn += 1
+        known, rest = _round(left, known, sets, turn, 1 if turn == 1 else CENTRES)
+        release(left if turn > 1 else weighted)
+        left, turn = rest, turn + 1
+    release(sets)
     return known
 
 
@@ -223,15 +231,18 @@ def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: i
     if known is None:
         placed = members.withColumn("comp", F.col("cls"))
     else:
-        placed = members.join(known, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+        placed = members.join(known, "cls", "left").select(*members.columns, F.coalesce("comp", "cls").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     open_rows = placed.join(open_keys.select("key"), "key").withColumn(
         "part", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(centres))
     )
-    open_rows = durable(open_rows, "near-open")
+    open_rows = scratch(open_rows, "near-open")
     if open_rows.isEmpty():
+        release(open_rows)
         return known, None
-    chosen = open_rows.groupBy("key", "part").agg(F.min("cls").alias("c"), F.min_by("comp", "cls").alias("cc"))
+    chosen = open_rows.groupBy("key", "part").agg(
+        F.max_by("cls", "weight").alias("c"), F.max_by("comp", "weight").alias("cc")
+    )
     met = open_rows.join(chosen.select("key", "c", "cc"), "key").filter("comp <> cc")
     pair = met.select(
         F.least("cls", "c").alias("a"),
@@ -239,12 +250,16 @@ def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: i
         F.when(F.col("cls") < F.col("c"), F.col("comp")).otherwise(F.col("cc")).alias("ca"),
         F.when(F.col("cls") < F.col("c"), F.col("cc")).otherwise(F.col("comp")).alias("cb"),
     )
-    links = durable(confirmed(pair.distinct(), sets).select("ca", "cb").distinct(), "near-links")
-    if not links.isEmpty():
-        known = _components_of(links, known)
+    links = scratch(confirmed(pair.distinct(), sets).select("ca", "cb").distinct(), "near-links")
     # A centre has met every other component of its bucket.
     rest = open_rows.join(chosen.select("key", F.col("c").alias("cls")), ["key", "cls"], "left_anti")
-    return known, rest.select("key", "cls")
+    rest = scratch(rest.select("key", "cls", "weight"), "near-rest")
+    release(open_rows)
+    if not links.isEmpty():
+        before, known = known, _components_of(links, known)
+        release(before)
+    release(links)
+    return known, rest
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
