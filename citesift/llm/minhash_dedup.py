@@ -41,9 +41,9 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 36
 ROWS = 4
-# Bands of the first round, and centres a bucket has in later rounds.
+# Bands of the first round, and the centres of a bucket by round; the last number holds on.
 FIRST_BANDS = 6
-CENTRES = 64
+CENTRES = (1, 1, 64, 512)
 UNIVERSE = 1 << 20
 SEED = 20240611
 # Words remembered per worker, and shingles handled at once.
@@ -212,18 +212,18 @@ def linked(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     sets = scratch(_sets(docs, rows, weights.select("cls")), "near-sets")
     release(members)
     left, known = weighted.select("key", "cls", "weight"), None
-    known, first = _round(weighted.filter(F.col("band") < FIRST_BANDS).drop("band"), known, sets, 0, 1)
+    known, first = _round(weighted.filter(F.col("band") < FIRST_BANDS).drop("band"), known, sets, 0)
     release(first)
     turn = 1
     while left is not None:
-        known, rest = _round(left, known, sets, turn, 1 if turn == 1 else CENTRES)
+        known, rest = _round(left, known, sets, turn)
         release(left if turn > 1 else weighted)
         left, turn = rest, turn + 1
     release(sets)
     return known
 
 
-def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: int, centres: int):
+def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: int):
     """Compare each bucket's centres with the members of other components.
 
     Returns the components so far and the members that still have to meet others.
@@ -234,7 +234,7 @@ def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: i
         placed = members.join(known, "cls", "left").select(*members.columns, F.coalesce("comp", "cls").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     open_rows = placed.join(open_keys.select("key"), "key").withColumn(
-        "part", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(centres))
+        "part", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
     )
     open_rows = scratch(open_rows, "near-open")
     if open_rows.isEmpty():

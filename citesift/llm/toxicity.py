@@ -33,7 +33,8 @@ BUCKETS = 1 << 16
 WIDTH = 12
 SHORTEST, LONGEST = 3, 6
 MAX_TOXIC, MAX_CLEAN = 1500, 4500
-EPOCHS = 10
+# Updates, whatever the size of the sample.
+STEPS = 940
 BATCH = 64
 RATE = 0.05
 DECAY = 1e-5
@@ -98,9 +99,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[
         update = (first[rows] / (1 - 0.9**step)) / (np.sqrt(second[rows] / (1 - 0.99**step)) + 1e-8)
         values[rows] -= RATE * update
 
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(bags))
-        for i in range(0, len(order), BATCH):
+        for i in range(0, min(len(order), BATCH * (STEPS - step)), BATCH):
             chosen = order[i : i + BATCH]
             step += 1
             buckets = np.concatenate([bags[j][0] for j in chosen])
