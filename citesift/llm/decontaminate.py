@@ -83,9 +83,15 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     prefixes = _checked(prefix_table(docs, items, window), F.lit(2 * window))
     rows = keyed(docs, words(F.col("text")).alias("ws"))
     placed = rows.select(*ROW_KEY, "ws", F.posexplode("ws").alias("pos", "token"))
-    joined = placed.join(prefixes, "token").withColumn("here", _surroundings("ws", "pos", window))
-    same = F.zip_with("here", "near", lambda x, y: F.when(x == y, "1").otherwise("0"))
-    joined = joined.select(*ROW_KEY, "item_id", "pos", "need", F.array_join(same, "").alias("same"))
+    # Spelled out without a lambda, so that it is compiled together with the join
+    # and no row with all words of its document is ever built.
+    same = F.concat(
+        *(
+            F.when(F.get("ws", F.col("pos") + (k - window + 1)) == F.get("near", F.lit(k)), "1").otherwise("0")
+            for k in range(2 * window - 1)
+        )
+    )
+    joined = placed.join(prefixes, "token").select(*ROW_KEY, "item_id", "pos", "need", same.alias("same"))
     # The position itself is character ``window`` of ``same``; find the run of equal words that holds it.
     before = F.length(F.substring_index(F.substring("same", 1, window), "0", -1))
     after = F.length(F.substring_index(F.expr(f"substring(same, {window})"), "0", 1))
