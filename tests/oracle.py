@@ -5,7 +5,7 @@ import os
 
 import duckdb
 
-TABLES = ("documents", "labels", "pages")
+TABLES = ("documents", "labels", "pages", "benchmark", "embeddings", "conversations")
 
 
 def sql_rows(sql: str, sf_dir: str):
