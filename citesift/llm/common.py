@@ -47,12 +47,12 @@ def release(*tables: DataFrame | None) -> None:
 
 
 # Stands for a null id in row keys; the digest tells it from a real one.
-_NO_ID = -(2**63)
+NO_ID = -(2**63)
 
 
 def _key(docs: DataFrame) -> list[Column]:
     return [
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("_id"),
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64(docs["doc_id"], docs["text"]).alias("_tk"),
     ]
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citesift.llm.common import ROW_KEY, keyed, packed, unpacked, words
+from citesift.llm.common import NO_ID, ROW_KEY, keyed, packed, unpacked, words
 from citesift.session import durable
 
 WINDOW = 10
@@ -48,7 +48,8 @@ def prefix_table(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
         items.select("item_id", words(F.col("text")).alias("ws")).filter(F.size("ws") > 0).distinct(), "items"
     )
     vocabulary = item_words.select(F.explode("ws").alias("w")).distinct()
-    vocabulary = _checked(vocabulary, F.lit(1))
+    vocabulary, small = _measured(vocabulary, F.lit(1))
+    vocabulary = F.broadcast(vocabulary) if small else vocabulary
     seen = keyed(docs, words(F.col("text")).alias("ws")).select(F.explode("ws").alias("w"))
     counts = seen.join(vocabulary, "w").groupBy("w").agg(F.count("*").alias("n"))
     need = F.least(F.size("ws"), F.lit(window))
@@ -71,18 +72,32 @@ def prefix_table(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     )
 
 
-def _checked(small: DataFrame, size: Column) -> DataFrame:
-    """``small`` marked for broadcast if its measured size allows it."""
-    small = durable(small, "lookup")
-    total = small.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(small) if total <= BROADCAST_WORDS else small
+def _measured(table: DataFrame, size: Column) -> tuple[DataFrame, bool]:
+    """``table`` written out, and whether its measured size allows a broadcast."""
+    table = durable(table, "lookup")
+    return table, (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_WORDS
+
+
+# Stands behind the last word of a document and meets a row of its own, so that the
+# pass over the words also gives their number; no word holds this character.
+_END = "\0"
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``_id, _tk, item_id, first, last``: document words covered by occurring windows."""
-    prefixes = _checked(prefix_table(docs, items, window), F.lit(2 * window))
+    """``_id, _tk, item_id, first, last, n_words``: document words covered by occurring windows.
+
+    Each document also has a row with only ``n_words``, for each of its repetitions.
+    """
+    prefixes, small = _measured(prefix_table(docs, items, window), F.lit(2 * window))
+    end = prefixes.sparkSession.range(1).select(
+        F.lit(_END).alias("token"), *(F.lit(None).cast(prefixes.schema[c].dataType).alias(c) for c in ("item_id", "at")),
+        F.lit(0).alias("need"), F.lit(None).cast("array<string>").alias("near"),
+    )
+    prefixes = prefixes.unionAll(end)
+    if small:
+        prefixes = F.broadcast(prefixes)
     rows = keyed(docs, words(F.col("text")).alias("ws"))
-    placed = rows.select(*ROW_KEY, "ws", F.posexplode("ws").alias("pos", "token"))
+    placed = rows.select(*ROW_KEY, "ws", F.posexplode(F.concat("ws", F.array(F.lit(_END)))).alias("pos", "token"))
     # Spelled out without a lambda, so that it is compiled together with the join
     # and no row with all words of its document is ever built.
     same = F.concat(
@@ -95,24 +110,42 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     # The position itself is character ``window`` of ``same``; find the run of equal words that holds it.
     before = F.length(F.substring_index(F.substring("same", 1, window), "0", -1))
     after = F.length(F.substring_index(F.expr(f"substring(same, {window})"), "0", 1))
-    run = joined.withColumns({"before": before, "after": after}).filter("before + after - 1 >= need")
+    run = joined.withColumns({"before": before, "after": after})
+    run = run.filter((F.col("need") == 0) | (F.col("before") + F.col("after") - 1 >= F.col("need")))
+    hit = F.col("need") > 0
     return run.select(
         *ROW_KEY,
         "item_id",
-        (F.col("pos") - F.col("before") + 1).alias("first"),
-        (F.col("pos") + F.col("after") - 1).alias("last"),
-    ).distinct()
+        F.when(hit, F.col("pos") - F.col("before") + 1).alias("first"),
+        F.when(hit, F.col("pos") + F.col("after") - 1).alias("last"),
+        F.when(~hit, F.col("pos")).alias("n_words"),
+    )
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``_id, _tk, n_hit, n_items, items`` of the documents that are hit; ``items`` are sorted as strings."""
+def measured(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``_id, _tk, doc_id, n_words, n_hit, items`` for every row; ``items`` are sorted as strings."""
     found = hits(docs, items, window).groupBy(*ROW_KEY)
-    spans = F.collect_set(F.struct("first", "last"))
+    spans = F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "last")))
     covered = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"]))))
-    return found.agg(
+    named = found.agg(
+        F.count("n_words").alias("copies"),
+        F.max("n_words").cast("long").alias("n_words"),
         F.size(covered).cast("long").alias("n_hit"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
+    return named.select(
+        *ROW_KEY,
+        F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"),
+        "n_words",
+        "n_hit",
+        "items",
+        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+    ).drop("copy")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``_id, _tk, n_hit, items`` of the documents that are hit, once each."""
+    return measured(docs, items, window).filter("n_hit > 0").select(*ROW_KEY, "n_hit", "items").dropDuplicates(ROW_KEY)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

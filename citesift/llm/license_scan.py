@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citesift.llm.common import ROW_KEY, keyed, words
+from citesift.session import durable
 
 GRAM = 3
 # Diagonals this close belong to one span.
@@ -125,7 +126,8 @@ def spans(met: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """``_id, _tk, n_base, first_word, last_word, base_labels, labels, score`` of documents with any label."""
-    met = meetings(docs, templates, phrases)
+    # Read twice; only matching grams are in it.
+    met = durable(meetings(docs, templates, phrases), "license-meetings")
     base = met.filter("is_phrase").select(*ROW_KEY, "label", "pos", F.lit(1.0).alias("cover"), F.lit(1).alias("base"))
     # A repeated row meets everything again.
     base = base.distinct()
