@@ -21,6 +21,7 @@ from citesift.functions.arrays import exploded
 from citesift.functions.text import TITLE_PREFIX, add_bigrams, lemmas, prefix_title
 from citesift.operators.retrieval import Query
 
+# The three publication types that are features.
 PUBLICATION_TYPES = ("Case Report", "Clinical Trial", "Revie")
 
 

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from citesift.operators.ordering import hash_rank
 
 
-def class_sizes(df: DataFrame, label: str = "label") -> dict[int, int]:
-    """Rows per class, two numbers."""
-    return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-
-
 def stratified_folds(
     df: DataFrame, k: int = 5, seed: int = 142, label: str = "label", id_col: str = "article_id"
 ) -> DataFrame:

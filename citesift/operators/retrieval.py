@@ -87,10 +87,14 @@ def extract_id_date(retrieved: DataFrame) -> DataFrame:
     )
 
 
-def merge_queries(extracted: DataFrame) -> DataFrame:
-    """One row per id; the date of the latest query that found it wins."""
+def merge_queries(extracted: DataFrame, with_order: bool = False) -> DataFrame:
+    """One row per id; the date of the latest query that found it wins.
+
+    ``with_order`` adds ``found``, the place of its first find: query, then position.
+    """
+    found = [F.min(F.struct("term_idx", "ord")).alias("found")] if with_order else []
     return extracted.groupBy("pubmed_id").agg(
-        F.max_by("publication_date", "term_idx").alias("publication_date")
+        F.max_by("publication_date", "term_idx").alias("publication_date"), *found
     )
 
 

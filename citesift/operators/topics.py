@@ -35,17 +35,28 @@ class Topics:
         seed: int = 42,
         no_below: int = 20,
         no_above: float = 0.4,
+        keep_n: int = 100_000,
+        passes: float = 10.0,
+        topic_concentration: float | None = None,
     ) -> Topics:
-        """``alpha`` is the prior mass over all topics, ``alpha / n_topics`` each."""
+        """``alpha`` is the prior mass over all topics, ``alpha / n_topics`` each, and stays so.
+
+        Documents are drawn with replacement, ``passes`` times the corpus in all (one
+        corpus per iteration at most). The share never drawn is exp(-passes): fewer
+        than one in 20,000 after ten passes. ``keep_n`` limits the dictionary's terms.
+        """
         n_docs = records.count()
-        # At most 100,000 terms: the model itself holds n_topics numbers for each.
-        rows = lda_dictionary(records, n_docs, no_below, no_above).collect()
+        # At most keep_n terms: the model itself holds n_topics numbers for each.
+        rows = lda_dictionary(records, n_docs, no_below, no_above, keep_n).collect()
         topics = cls([r["term"] for r in rows], None, n_topics)
         if topics.vocab:
             lda = LDA(
                 k=n_topics,
                 optimizer="online",
                 docConcentration=[alpha / n_topics],
+                optimizeDocConcentration=False,
+                topicConcentration=topic_concentration,
+                subsamplingRate=min(1.0, passes / max_iter),
                 maxIter=max_iter,
                 seed=seed,
                 featuresCol="_bow",

@@ -33,7 +33,7 @@ def articles_from_pages(
     ``pages``: ``url, html``.
     """
     extracted = ret.extract_id_date(retrieved)
-    found = ret.merge_queries(extracted).withColumn("url", ops.article_url(F.col("pubmed_id"), url_prefix))
+    found = ret.merge_queries(extracted, with_order=True).withColumn("url", ops.article_url(F.col("pubmed_id"), url_prefix))
     html = F.col("html")
     return found.join(pages, "url").select(
         "url",
@@ -41,7 +41,8 @@ def articles_from_pages(
         html_list_field(list_section(html, types_section), types).alias("publication_types"),
         html_field(html, title).alias("title"),
         html_field(html, abstract).alias("abstract"),
-        F.col("pubmed_id").alias("ord"),
+        # Text, like the keys of supplementary articles, but in the order of finding.
+        F.format_string("%012d-%012d", "found.term_idx", "found.ord").alias("ord"),
     )
 
 

@@ -13,9 +13,8 @@ from citesift.operators.articles import temporal_split
 from citesift.registry import views
 from citesift.session import durable
 
-# Smaller than the defaults so that a query stays a check: topics and iterations
-# only steer the fit, never which documents take part.
-TOPICS, ITERATIONS = 10, 10
+# Each iteration draws as many documents as there are, see Topics.fit.
+TOPICS, ITERATIONS = 50, 10
 
 
 def _wide(df: DataFrame, column: str, names) -> DataFrame:

@@ -31,16 +31,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the session has cores.
-
-    Small tables in one file would otherwise be tokenised by one task. A large
-    scan has many splits and is left alone, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to a scratch Parquet table and continue from the files.
 

@@ -221,3 +221,11 @@ def test_jobs(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "report/scores")).count() == n // 2
     run("update", *common, "--out", tmp_path / "tables")
     assert spark.read.json(str(tmp_path / "tables/new_articles")).count() == n // 2
+
+
+def test_the_article_found_first_stays(spark):
+    found = [("q", 0, 0, "9", "2020-1-1"), ("q", 0, 1, "10", "2020-1-1"), ("r", 1, 0, "10", "2020-2-1")]
+    extracted = spark.createDataFrame(found, "search_term string, term_idx int, ord int, pubmed_id string, publication_date string")
+    merged = ret.merge_queries(extracted, with_order=True)
+    titled = merged.selectExpr("pubmed_id", "'same' as title", "found as ord", "1 as src_priority")
+    assert [r.pubmed_id for r in ops.dedup_by_title(titled).collect()] == ["9"]
