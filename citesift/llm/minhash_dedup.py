@@ -8,11 +8,16 @@ share no band with a chance of (1 - 0.75**4)**36, about 1e-6.
 Texts with equal sets are one class from the start, so copies are never compared.
 Within a bucket (the classes that share a band) only stars are compared: a centre
 with every class not yet in its component; centres are the classes that share most
-buckets with others, such as the text that copies were made from. Centres that have met all others leave
-the bucket, and the rounds go on until no bucket holds two components. So no pair
-that could join two components is left out, all pairs of a bucket are never
-listed, and large buckets shrink to one component in the first round or two. The
-first round uses a few bands only; it joins most copies before the others look.
+buckets with others, such as the text that copies were made from. The first round
+uses a few bands only and joins most copies.
+
+Buckets that still hold several components are then split by rare shingles. In any
+one order of all shingles, two sets that are similar enough share one of their
+first quarter (``leading``), so classes in open buckets meet again under each of
+those only. With frequent shingles last in the order, unlike texts around a common
+passage no longer meet. Centres that have met all others leave their group, and
+the rounds go on until no group holds two components. So no pair that could join
+two components is left out, and all pairs of a group are never listed.
 
 Shingles are hashed to 64 bits; a class is known by 64 bits of the digest of its
 sorted set (with 10 billion classes, two or three of them would meet by chance).
@@ -44,6 +49,9 @@ ROWS = 4
 # Bands of the first round, and the centres of a bucket by round; the last number holds on.
 FIRST_BANDS = 6
 CENTRES = (1, 1, 64, 512)
+# Shingles that the order puts last, the most frequent ones. The order decides how many
+# texts meet, never which pairs are found.
+KNOWN_FREQUENT = 1 << 18
 UNIVERSE = 1 << 20
 SEED = 20240611
 # Words remembered per worker, and shingles handled at once.
@@ -162,21 +170,55 @@ def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "cls long, n long, hashes array<long>")
 
 
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, rising, and counts of the shingles found most often together in a batch; at most ``KNOWN_FREQUENT``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1])], names=["h", "n"])
+
+    counts = sets.select("hashes").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "h").limit(KNOWN_FREQUENT).toArrow().sort_by("h")
+    return top["h"].to_numpy(), top["n"].to_numpy()
+
+
+def leading(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """The rarest shingles of a set, so many that no similar set can do without all of them."""
+    known, counts = frequent
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, counts[at], 0)
+    most = len(hashes) + (-percent * len(hashes)) // 100 + 1
+    return hashes[np.lexsort((hashes, rank))[:most]]
+
+
+def rare_groups(members: DataFrame, sets: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``key, cls, weight, n``: classes of the open buckets by shared leading shingles."""
+    placed = _placed(members, known)
+    chosen = placed.join(_open(placed), "key").select("cls", "weight", "n").distinct()
+    frequent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [leading(x.values.to_numpy(zero_copy_only=False), frequent.value) for x in batch.column(3)]
+            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            columns = [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))]
+            columns += [batch.column(c).take(pa.array(at)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "cls", "weight", "n"])
+
+    sided = chosen.join(sets.select("cls", "hashes"), "cls").select("cls", "weight", "n", "hashes")
+    return scratch(sided.mapInArrow(run, "key long, cls long, weight long, n long"), "near-rare")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``pairs (a, b, ...)`` whose whole sets are similar enough."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    # Sizes first: sets move only for pairs whose sizes allow the similarity.
-    narrow = (
-        pairs.join(left.select("a", "na"), "a")
-        .join(right.select("b", "nb"), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    )
     common = F.size(F.array_intersect("ha", "hb"))
     return (
-        narrow.join(left.select("a", "ha"), "a")
-        .join(right.select("b", "hb"), "b")
-        .filter(common * 100 >= (F.col("na") + F.col("nb") - common) * percent)
+        pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
+        .join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
+        .filter(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent)
         .select(*pairs.columns)
     )
 
@@ -208,52 +250,65 @@ def linked(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     # How many meetings a class has; the low bits tell equal ones apart.
     weights = members.groupBy("cls").agg(F.sum("n").alias("w"))
     weights = weights.select("cls", F.expr("w * 1048576 + (cls & 1048575)").alias("weight"))
-    weighted = scratch(members.join(weights, "cls").select("key", "cls", "band", "weight"), "near-members")
     sets = scratch(_sets(docs, rows, weights.select("cls")), "near-sets")
+    weights = weights.join(sets.select("cls", "n"), "cls")
+    weighted = scratch(members.select("key", "cls", "band").join(weights, "cls"), "near-members")
     release(members)
-    left, known = weighted.select("key", "cls", "weight"), None
-    known, first = _round(weighted.filter(F.col("band") < FIRST_BANDS).drop("band"), known, sets, 0)
+    members = weighted.drop("band")
+    known, first = _round(weighted.filter(F.col("band") < FIRST_BANDS).drop("band"), None, sets, 0)
     release(first)
+    left = rare_groups(members, sets, known)
+    release(weighted)
     turn = 1
     while left is not None:
-        known, rest = _round(left, known, sets, turn)
-        release(left if turn > 1 else weighted)
-        left, turn = rest, turn + 1
+        before = left
+        known, left = _round(left, known, sets, turn)
+        release(before)
+        turn += 1
     release(sets)
     return known
 
 
+def _placed(members: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``members`` with the component ``comp`` of each class."""
+    if known is None:
+        return members.withColumn("comp", F.col("cls"))
+    return members.join(known, "cls", "left").select(*members.columns, F.coalesce("comp", "cls").alias("comp"))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Keys of the groups with more than one component."""
+    ends = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return ends.filter("lo <> hi").select("key")
+
+
 def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: int):
-    """Compare each bucket's centres with the members of other components.
+    """Compare each group's centres with the members of other components.
 
     Returns the components so far and the members that still have to meet others.
     """
-    if known is None:
-        placed = members.withColumn("comp", F.col("cls"))
-    else:
-        placed = members.join(known, "cls", "left").select(*members.columns, F.coalesce("comp", "cls").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    open_rows = placed.join(open_keys.select("key"), "key").withColumn(
+    placed = _placed(members, known)
+    open_rows = placed.join(_open(placed), "key").withColumn(
         "part", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
     )
     open_rows = scratch(open_rows, "near-open")
     if open_rows.isEmpty():
         release(open_rows)
         return known, None
-    chosen = open_rows.groupBy("key", "part").agg(
-        F.max_by("cls", "weight").alias("c"), F.max_by("comp", "weight").alias("cc")
-    )
-    met = open_rows.join(chosen.select("key", "c", "cc"), "key").filter("comp <> cc")
-    pair = met.select(
-        F.least("cls", "c").alias("a"),
-        F.greatest("cls", "c").alias("b"),
-        F.when(F.col("cls") < F.col("c"), F.col("comp")).otherwise(F.col("cc")).alias("ca"),
-        F.when(F.col("cls") < F.col("c"), F.col("cc")).otherwise(F.col("comp")).alias("cb"),
+    centre = F.max_by(F.struct("cls", "comp", "n"), "weight")
+    chosen = open_rows.groupBy("key", "part").agg(centre.alias("c"))
+    met = open_rows.join(chosen.select("key", "c"), "key").filter("comp <> c.comp")
+    # Sizes first: sets move only for pairs whose sizes allow the similarity.
+    met = met.filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * PERCENT)
+    ours, theirs = F.struct("cls", "comp"), F.struct("c.cls", "c.comp")
+    pair = met.select(F.least(ours, theirs).alias("x"), F.greatest(ours, theirs).alias("y")).distinct()
+    pair = pair.select(
+        F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")
     )
-    links = scratch(confirmed(pair.distinct(), sets).select("ca", "cb").distinct(), "near-links")
-    # A centre has met every other component of its bucket.
-    rest = open_rows.join(chosen.select("key", F.col("c").alias("cls")), ["key", "cls"], "left_anti")
-    rest = scratch(rest.select("key", "cls", "weight"), "near-rest")
+    links = scratch(confirmed(pair, sets).select("ca", "cb").distinct(), "near-links")
+    # A centre has met every other component of its group.
+    rest = open_rows.join(chosen.select("key", F.col("c.cls").alias("cls")), ["key", "cls"], "left_anti")
+    rest = scratch(rest.select("key", "cls", "weight", "n"), "near-rest")
     release(open_rows)
     if not links.isEmpty():
         before, known = known, _components_of(links, known)
