@@ -14,8 +14,9 @@ uses a few bands only and joins most copies.
 Buckets that still hold several components are then split by rare shingles. In any
 one order of all shingles, two sets that are similar enough share one of their
 first quarter (``leading``), so classes in open buckets meet again under each of
-those only. With frequent shingles last in the order, unlike texts around a common
-passage no longer meet. Centres that have met all others leave their group, and
+those only; the smaller set has the shingle in its first seventh, so only such
+members become centres. With frequent shingles last in the order, unlike texts around
+a common passage no longer meet. Centres that have met all others leave their group, and
 the rounds go on until no group holds two components. So no pair that could join
 two components is left out, and all pairs of a group are never listed.
 
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm.common import ROW_KEY, components, keyed, packed, release, scratch, unpacked
@@ -195,7 +196,7 @@ def leading(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
 
 
 def rare_groups(members: DataFrame, sets: DataFrame, known: DataFrame | None) -> DataFrame:
-    """``key, cls, weight, n``: classes of the open buckets by shared leading shingles."""
+    """``key, cls, weight, n, at``: classes of the open buckets by shared leading shingles and their place."""
     placed = _placed(members, known)
     chosen = placed.join(_open(placed), "key").select("cls", "weight", "n").distinct()
     frequent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
@@ -206,10 +207,11 @@ def rare_groups(members: DataFrame, sets: DataFrame, known: DataFrame | None) ->
             at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             columns = [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))]
             columns += [batch.column(c).take(pa.array(at)) for c in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "cls", "weight", "n"])
+            columns.append(pa.array(np.concatenate([np.arange(len(k)) for k in keys] or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "cls", "weight", "n", "at"])
 
     sided = chosen.join(sets.select("cls", "hashes"), "cls").select("cls", "weight", "n", "hashes")
-    return scratch(sided.mapInArrow(run, "key long, cls long, weight long, n long"), "near-rare")
+    return scratch(sided.mapInArrow(run, "key long, cls long, weight long, n long, at long"), "near-rare")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -254,8 +256,9 @@ def linked(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     weights = weights.join(sets.select("cls", "n"), "cls")
     weighted = scratch(members.select("key", "cls", "band").join(weights, "cls"), "near-members")
     release(members)
-    members = weighted.drop("band")
-    known, first = _round(weighted.filter(F.col("band") < FIRST_BANDS).drop("band"), None, sets, 0)
+    # A bucket says nothing about where its members agree.
+    members = weighted.withColumn("at", F.lit(0).cast("long"))
+    known, first = _round(members.filter(F.col("band") < FIRST_BANDS).drop("band"), None, sets, 0)
     release(first)
     left = rare_groups(members, sets, known)
     release(weighted)
@@ -276,10 +279,15 @@ def _placed(members: DataFrame, known: DataFrame | None) -> DataFrame:
     return members.join(known, "cls", "left").select(*members.columns, F.coalesce("comp", "cls").alias("comp"))
 
 
+def _early() -> Column:
+    """Whether a set can be the smaller one of a similar pair whose first common shingle this is."""
+    return (F.col("n") - F.col("at")) * (100 + PERCENT) >= F.col("n") * (2 * PERCENT)
+
+
 def _open(placed: DataFrame) -> DataFrame:
-    """Keys of the groups with more than one component."""
-    ends = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return ends.filter("lo <> hi").select("key")
+    """Keys of the groups with more than one component and a member to compare the others with."""
+    ends = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(_early()).alias("early"))
+    return ends.filter("early and lo <> hi").select("key")
 
 
 def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: int):
@@ -295,11 +303,14 @@ def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: i
     if open_rows.isEmpty():
         release(open_rows)
         return known, None
-    centre = F.max_by(F.struct("cls", "comp", "n"), "weight")
-    chosen = open_rows.groupBy("key", "part").agg(centre.alias("c"))
+    centre = F.max_by(F.struct("cls", "comp", "n", "at"), "weight")
+    chosen = open_rows.filter(_early()).groupBy("key", "part").agg(centre.alias("c"))
     met = open_rows.join(chosen.select("key", "c"), "key").filter("comp <> c.comp")
     # Sizes first: sets move only for pairs whose sizes allow the similarity.
     met = met.filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * PERCENT)
+    # Where this is their first common shingle, they share no more than what follows it.
+    rest = F.least(F.col("n") - F.col("at"), F.col("c.n") - F.col("c.at"))
+    met = met.filter(rest * (100 + PERCENT) >= (F.col("n") + F.col("c.n")) * PERCENT)
     ours, theirs = F.struct("cls", "comp"), F.struct("c.cls", "c.comp")
     pair = met.select(F.least(ours, theirs).alias("x"), F.greatest(ours, theirs).alias("y")).distinct()
     pair = pair.select(
@@ -308,7 +319,7 @@ def _round(members: DataFrame, known: DataFrame | None, sets: DataFrame, turn: i
     links = scratch(confirmed(pair, sets).select("ca", "cb").distinct(), "near-links")
     # A centre has met every other component of its group.
     rest = open_rows.join(chosen.select("key", F.col("c.cls").alias("cls")), ["key", "cls"], "left_anti")
-    rest = scratch(rest.select("key", "cls", "weight", "n"), "near-rest")
+    rest = scratch(rest.select("key", "cls", "weight", "n", "at"), "near-rest")
     release(open_rows)
     if not links.isEmpty():
         before, known = known, _components_of(links, known)
