@@ -20,8 +20,9 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ THRESHOLD = 0.7
 # Shorter texts are averaged as if they had so many different words.
 FEWEST = 20
 WORD_CACHE = 400_000
+# Texts whose new words are hashed together.
+TEXTS = 64
 
 # Lower-cases A-Z and blanks what stands between words.
 _TABLE = bytes(
@@ -69,14 +72,48 @@ def word_buckets(word: bytes) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
+# The usual table of CRC-32 by byte, so that all n-grams are hashed at once as zlib does it.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def buckets_of(words: Iterable[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words in some order, and for all their buckets the word's place and the bucket; see ``word_buckets``."""
+    words = list(words)
+    plain = [w for w in words if w.isascii()]
+    other = [w for w in words if not w.isascii()]
+    owners, buckets = [], []
+    if plain:
+        marked = [b"<%b>" % w for w in plain]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        owner = np.repeat(np.arange(len(plain)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(owner))
+        data = np.frombuffer(b"".join(marked) + bytes(LONGEST), np.uint8)
+        state = np.full(len(owner), 0xFFFFFFFF, np.uint32)
+        for size in range(1, LONGEST + 1):
+            state = _CRC[(state ^ data[size - 1 : size - 1 + len(owner)]) & 255] ^ (state >> np.uint32(8))
+            if size >= SHORTEST:
+                used = (left >= size) & (sizes[owner] > size)
+                owners.append(owner[used])
+                buckets.append((state[used] ^ np.uint32(0xFFFFFFFF)) % BUCKETS)
+        owners.append(np.arange(len(plain)))
+        buckets.append(np.fromiter(map(zlib.crc32, marked), np.uint32, len(marked)) % BUCKETS)
+    for k, word in enumerate(other, len(plain)):
+        found = word_buckets(word)
+        owners.append(np.full(len(found), k))
+        buckets.append(np.array(found, np.uint32))
+    if not words:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return plain + other, np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
+
+
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a whole text and their shares in its average."""
-    found = tokens(text)
-    buckets = [word_buckets(word) for word in found]
-    if not buckets:
+    found, owner, buckets = buckets_of(tokens(text))
+    if not found:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    sizes = np.array([len(b) for b in buckets])
-    weights = np.bincount(np.concatenate(buckets), np.repeat(1 / sizes, sizes), BUCKETS)
+    weights = np.bincount(buckets, 1 / np.bincount(owner)[owner], BUCKETS)
     used = np.flatnonzero(weights)
     return used.astype(np.int32), (weights[used] / max(FEWEST, len(found))).astype(np.float32)
 
@@ -168,12 +205,15 @@ class _WordScores(dict):
         super().__init__()
         self.by_bucket = by_bucket
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        buckets = word_buckets(word)
-        value = self[word] = float(self.by_bucket[buckets].sum()) / len(buckets)
-        return value
+    def learn(self, words: set[bytes]) -> None:
+        """Have the scores of these words at hand; the new ones are worked out together."""
+        new = [w for w in words if w not in self]
+        if new:
+            if len(self) + len(new) > WORD_CACHE:
+                self.clear()
+                new = words
+            ordered, owner, buckets = buckets_of(new)
+            self.update(zip(ordered, (np.bincount(owner, self.by_bucket[buckets]) / np.bincount(owner)).tolist()))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
@@ -187,9 +227,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
         scores = _WordScores(by_bucket)
         for batch in batches:
             sums = []
-            for x in batch.column(at):
-                found = tokens(x.as_py())
-                sums.append(sum(sorted(map(scores.__getitem__, found))) / max(FEWEST, len(found)) + bias)
+            texts = batch.column(at)
+            for start in range(0, len(texts), TEXTS):
+                found = [tokens(x.as_py()) for x in texts.slice(start, TEXTS)]
+                scores.learn(set().union(*found))
+                sums += [math.fsum(map(scores.__getitem__, f)) / max(FEWEST, len(f)) + bias for f in found]
             p = 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, out])
 

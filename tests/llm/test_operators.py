@@ -321,3 +321,12 @@ def test_held_out_parts_are_as_stated(spark):
     for r in rows.collect():
         crc = zlib.crc32(str(r.id).encode())
         assert (r.t, r.m) == (crc % 3 == 1, crc % 7 == 2)
+
+
+def test_buckets_of_many_words_are_those_of_each():
+    words = [b"a", b"", b"word", b"longerword", b"x" * 50, "gr\u00fc\u00dfe".encode(), "\u4f60\u597d".encode(), b"\xff\xfe"]
+    ordered, owner, buckets = toxicity.buckets_of(words)
+    assert sorted(ordered) == sorted(words)
+    for k, word in enumerate(ordered):
+        assert sorted(buckets[owner == k].tolist()) == sorted(toxicity.word_buckets(word))
+    assert toxicity.buckets_of([])[0] == []
