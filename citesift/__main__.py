@@ -34,7 +34,7 @@ def _arguments() -> argparse.Namespace:
         job.add_argument("--articles", required=True, help="stored article table")
         job.add_argument("--queries", required=True, help="JSON file of boolean queries")
         job.add_argument("--features", choices=("simple", "full"), default="simple")
-        job.add_argument("--grid-points", type=int, default=0, help="values of C to try; 200 for the full grid")
+        job.add_argument("--grid-points", type=int, default=10, help="values of C to try; 200 for the full grid, 0 for no search")
     for job in jobs.choices.values():
         job.add_argument("--out", required=True)
     return parser.parse_args()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citesift.functions.text import lemmas, prefix_title
 
+# Fixed value: articles from this day on are new.
 CUTOFF_DATE = dt.date(2020, 4, 17)
 
 

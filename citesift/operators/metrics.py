@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from citesift.operators.ordering import attach
 
+# Fixed value: the published cut-off.
 CUTOFF = 0.26
 
 
@@ -21,6 +22,17 @@ def classify(scores: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     return scores.withColumn("pred", (F.col("relevance") > F.lit(cutoff)).cast("int"))
 
 
+def classify_from(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
+    """``pred`` = 1 from the group's own ``threshold`` on, as ``select_threshold`` gives it, so its recall is kept.
+
+    There is one threshold per group; in a group without one nothing is predicted.
+    """
+    chosen = thresholds.select(*by, "threshold")
+    joined = scores.join(chosen, [*by], "left")
+    pred = F.coalesce((F.col("relevance") >= F.col("threshold")).cast("int"), F.lit(0))
+    return joined.withColumn("pred", pred).drop("threshold")
+
+
 def confusion(pred: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
     label, guess = F.col("label"), F.col("pred")
     return pred.groupBy(*by).agg(
@@ -104,6 +116,7 @@ def score_histogram(
     )
 
 
+# The columns of the report.
 REPORT_COLUMNS = (
     "fold", "train_0", "train_1", "test_0", "test_1", "param_C", "support",
     "recall", "precision", "prauc", "wss",

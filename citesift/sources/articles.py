@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +35,20 @@ def write_articles(articles: DataFrame, path: str, mode: str = "errorifexists")
     table.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(path)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in ARTICLE_SCHEMA])
+def read_articles(
+    spark: SparkSession, path: str, since: dt.date | None = None, before: dt.date | None = None
+) -> DataFrame:
+    """The stored articles from the date ``since`` on and up to ``before``, that day left out.
+
+    Only the year folders that can hold such dates are read. With either bound
+    articles without a date are left out.
+    """
+    table = spark.read.parquet(path)
+    if since:
+        table = table.filter((F.col("year") >= since.year) & (F.col("publication_date") >= F.lit(since)))
+    if before:
+        table = table.filter((F.col("year") <= before.year) & (F.col("publication_date") < F.lit(before)))
+    return table.select(*[F.col(f.name).cast(f.dataType) for f in ARTICLE_SCHEMA])
 
 
 def parse_json_map(texts: DataFrame, column: str = "value") -> DataFrame:

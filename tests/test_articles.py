@@ -229,3 +229,13 @@ def test_the_article_found_first_stays(spark):
     merged = ret.merge_queries(extracted, with_order=True)
     titled = merged.selectExpr("pubmed_id", "'same' as title", "found as ord", "1 as src_priority")
     assert [r.pubmed_id for r in ops.dedup_by_title(titled).collect()] == ["9"]
+
+
+def test_a_date_range_reads_its_year_folders_only(spark, tmp_path):
+    rows = [(str(y), dt.date(y, 6, 1), "", "t", "a", 0) for y in (2018, 2019, 2020)] + [("none", None, "", "t", "a", 0)]
+    files.write_articles(spark.createDataFrame(rows, files.ARTICLE_SCHEMA), str(tmp_path / "t"))
+    some = files.read_articles(spark, str(tmp_path / "t"), dt.date(2019, 1, 1), dt.date(2020, 6, 1))
+    assert [r.url for r in some.collect()] == ["2019"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert files.read_articles(spark, str(tmp_path / "t")).count() == 4

@@ -181,3 +181,10 @@ def test_pages(spark):
     assert [r["rank"] for r in export.page_of(ranked, 3).orderBy("rank").collect()] == [21, 22, 23]
     assert export.page_count(ranked).first()["pages"] == 3
     assert export.paginate(ranked).filter("page = 2").count() == 10
+
+
+def test_a_chosen_threshold_keeps_its_recall(spark):
+    rows = spark.createDataFrame([(0, 1, 0.9), (0, 1, 0.4), (0, 0, 0.4), (0, 0, 0.1), (1, 0, 0.3)], "fold int, label int, relevance double")
+    chosen = spark.createDataFrame([(0, 0.4)], "fold int, threshold double")
+    found = metrics.classify_from(rows, chosen).orderBy("fold", F.desc("relevance"), "label").collect()
+    assert [(r.fold, r.label, r.pred) for r in found] == [(0, 1, 1), (0, 0, 1), (0, 1, 1), (0, 0, 0), (1, 0, 0)]
