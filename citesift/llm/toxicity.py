@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# A bucket's number fits in 16 bits.
 BUCKETS = 1 << 16
 WIDTH = 12
 SHORTEST, LONGEST = 3, 6
@@ -112,10 +113,10 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a whole text and their shares in its average."""
     found, owner, buckets = buckets_of(tokens(text))
     if not found:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.float32)
     weights = np.bincount(buckets, 1 / np.bincount(owner)[owner], BUCKETS)
     used = np.flatnonzero(weights)
-    return used.astype(np.int32), (weights[used] / max(FEWEST, len(found))).astype(np.float32)
+    return used.astype(np.uint16), (weights[used] / max(FEWEST, len(found))).astype(np.float32)
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
@@ -194,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     rows = texts.mapInArrow(run, "doc_id long, toxic int, buckets binary, shares binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    bags = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
+    bags = [(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)) for r in rows]
     return fit(bags, np.array([r["toxic"] for r in rows], np.int64))
 
 
