@@ -37,9 +37,6 @@ from citesift.session import durable
 
 GROW_AFTER = 6
 
-# Where a text matches none of these it holds nothing that PATTERNS find.
-MAYBE = r"@|\d{3}|\d[ .()-]+\d|AKIA|(?i)password|passwd|secret|token|api.?key|\b(?:mr|mrs|ms|miss|herr|frau|mme|madame|monsieur|senor|senora|señor|señora|господин|госпожа)\b"
-
 _HONORIFICS = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Senora", "Госпожа"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Senor", "Господин"),
@@ -47,6 +44,15 @@ _HONORIFICS = {
 _GENDER = {h.lower(): g for g, hs in _HONORIFICS.items() for h in hs}
 _TITLES = "|".join(h for hs in _HONORIFICS.values() for h in hs)
 
+# Where a text matches none of these it holds nothing that PATTERNS find. Java's \d is
+# ASCII only and its \p{Nd} lacks the digits of three scripts that Python's \d knows; a
+# word before or behind is looked for less strictly than in PATTERNS, never more so.
+_DIGIT = r"[\p{Nd}\x{16AC0}-\x{16AC9}\x{11F50}-\x{11F59}\x{1E4F0}-\x{1E4F9}]"
+MAYBE = (
+    rf"@|{_DIGIT}{{3}}|{_DIGIT}[ .()-]+{_DIGIT}|AKIA|[A-Z]{{2}}{_DIGIT}{{2}} ?[A-Z0-9]{{4}}"
+    rf"|(?iu)password|passwd|pwd|secret|token|api[_-]?key|(?<![a-z])(?:{_TITLES})\.? "
+)
+
 # Longest claims first: a span that is taken is not looked at again.
 PATTERNS = (
     ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})")),
@@ -75,6 +81,11 @@ def normal(kind: str, entity: str) -> str:
     return entity.casefold() if kind in ("email", "name") else entity
 
 
+def _gender(title: str) -> str:
+    # (?i) also takes the long s and the two Turkish letters i.
+    return _GENDER[title.lower().translate({0x17F: "s", 0x131: "i", 0x307: None})]
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """``start, end, kind, entity`` of what a text holds, in order and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -88,7 +99,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             if any(taken[start:end]) or kind == "card" and not _luhn(m.group(group)):
                 continue
             taken[start:end] = b"\1" * (end - start)
-            shown = kind if kind != "name" else "name-" + _GENDER[m.group(1).lower()]
+            shown = kind if kind != "name" else "name-" + _gender(m.group(1))
             found.append((start, end, shown, m.group(group)))
     return sorted(found)
 
