@@ -5,7 +5,8 @@ the same grams in the templates. A meeting votes for its diagonal, the offset
 between document and template. Neighbouring diagonals (words added or left out)
 are merged per document and template, and the span they cover is verified: the
 share of distinct template grams in it, against the longer of template and span,
-must reach ``MIN_COVER``.
+must reach ``MIN_COVER``. Where spans of several templates lie on the same words, the
+one with the best cover is taken: one notice has one licence.
 
 The templates are a fixed list of short notices, so their grams are broadcast.
 Only matching grams are shuffled.
@@ -102,7 +103,7 @@ def meetings(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame
 
 
 def spans(met: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
-    """``_id, _tk, label, first, last, cover`` of the verified template spans."""
+    """``_id, _tk, no, label, first, last, found, cover`` of the verified template spans."""
     votes = met.filter(~F.col("is_phrase")).withColumn("diagonal", F.col("pos") - F.col("at"))
     diagonals = votes.groupBy(*ROW_KEY, "no", "label", "size", "diagonal").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("ats")
@@ -124,6 +125,28 @@ def spans(met: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     return merged.withColumn("cover", F.col("found") / length).filter(F.col("cover") >= min_cover)
 
 
+def best_spans(found: DataFrame) -> DataFrame:
+    """``_id, _tk, label, cover``: ``spans`` from the best on, without those that mostly lie on a taken one."""
+    # Runs of spans that touch; within one document.
+    along = Window.partitionBy(*ROW_KEY).orderBy("first", "last", "no", "span")
+    before = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    starts = found.withColumn("new", F.when(before >= F.col("first"), 0).otherwise(1))
+    runs = starts.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(
+        F.collect_list(F.struct((-F.col("cover")).alias("worse"), (-F.col("found")).alias("fewer"), "no", "first", "last", "label", "cover"))
+    )
+    length = lambda x: x["last"] - x["first"] + 1
+    common = lambda x, y: F.least(x["last"], y["last"]) - F.greatest(x["first"], y["first"]) + 1
+    covered = lambda x, taken: F.exists(taken, lambda y: 2 * common(x, y) > F.least(length(x), length(y)))
+    taken = F.aggregate(
+        "ordered",
+        F.slice("ordered", 1, 0),
+        lambda taken, x: F.when(covered(x, taken), taken).otherwise(F.concat(taken, F.array(x))),
+    )
+    runs = runs.groupBy(*ROW_KEY, "run").agg(ordered.alias("ordered"))
+    return runs.select(*ROW_KEY, F.explode(taken).alias("s")).select(*ROW_KEY, "s.label", "s.cover")
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """``_id, _tk, n_base, first_word, last_word, base_labels, labels, score`` of documents with any label."""
     # Read twice; only matching grams are in it.
@@ -131,7 +154,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     base = met.filter("is_phrase").select(*ROW_KEY, "label", "pos", F.lit(1.0).alias("cover"), F.lit(1).alias("base"))
     # A repeated row meets everything again.
     base = base.distinct()
-    more = spans(met).select(*ROW_KEY, "label", F.lit(None).cast("int").alias("pos"), "cover", F.lit(0).alias("base"))
+    more = best_spans(spans(met)).select(*ROW_KEY, "label", F.lit(None).cast("int").alias("pos"), "cover", F.lit(0).alias("base"))
     is_base = F.col("base") == 1
     return base.unionAll(more).groupBy(*ROW_KEY).agg(
         F.sum("base").alias("n_base"),
