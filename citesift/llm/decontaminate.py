@@ -11,7 +11,8 @@ are respected. An item of fewer words, but not none, is one window.
 
 The prefix table is as large as the benchmark, so it is broadcast only if its
 rows and words stay below ``BROADCAST_WORDS``; beyond that Spark joins by shuffle,
-and only the surroundings of a position travel with it.
+and only the surroundings of a position travel with it: each word of a document is
+shuffled as ``2 * WINDOW - 1`` words, however long the document is.
 
 Null and empty texts have no words and are not hit. Items without words are
 ignored, repeated items count once per id, and a null item_id hits but is no
@@ -78,8 +79,9 @@ def _measured(table: DataFrame, size: Column) -> tuple[DataFrame, bool]:
     return table, (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_WORDS
 
 
-# Stands behind the last word of a document and meets a row of its own, so that the
-# pass over the words also gives their number; no word holds this character.
+# Where the prefix table is broadcast, this stands behind the last word of a document and
+# meets a row of its own, so that the pass over the words also gives their number; no word
+# holds this character.
 _END = "\0"
 
 
@@ -89,24 +91,45 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     Each document also has a row with only ``n_words``, for each of its repetitions.
     """
     prefixes, small = _measured(prefix_table(docs, items, window), F.lit(2 * window))
+    rows = keyed(docs, words(F.col("text")).alias("ws"))
+    if not small:
+        return _hits_by_shuffle(rows, prefixes, window)
     end = prefixes.sparkSession.range(1).select(
         F.lit(_END).alias("token"), *(F.lit(None).cast(prefixes.schema[c].dataType).alias(c) for c in ("item_id", "at")),
         F.lit(0).alias("need"), F.lit(None).cast("array<string>").alias("near"),
     )
-    prefixes = prefixes.unionAll(end)
-    if small:
-        prefixes = F.broadcast(prefixes)
-    rows = keyed(docs, words(F.col("text")).alias("ws"))
+    prefixes = F.broadcast(prefixes.unionAll(end))
     placed = rows.select(*ROW_KEY, "ws", F.posexplode(F.concat("ws", F.array(F.lit(_END)))).alias("pos", "token"))
     # Spelled out without a lambda, so that it is compiled together with the join
     # and no row with all words of its document is ever built.
-    same = F.concat(
-        *(
-            F.when(F.get("ws", F.col("pos") + (k - window + 1)) == F.get("near", F.lit(k)), "1").otherwise("0")
-            for k in range(2 * window - 1)
-        )
+    same = _same([F.get("ws", F.col("pos") + k) for k in range(1 - window, window)])
+    joined = placed.join(prefixes, "token").select(*ROW_KEY, "item_id", "pos", "need", same.alias("same"))
+    return _runs(joined, window)
+
+
+def _hits_by_shuffle(rows: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
+    """``hits`` over ``rows (_id, _tk, ws)`` where the prefix table is too large for a broadcast."""
+    around = range(1 - window, window)
+    # Taken before the join, and as columns without a lambda for the same reason as above.
+    placed = rows.select(*ROW_KEY, "ws", F.posexplode("ws").alias("pos", "token")).select(
+        *ROW_KEY, "pos", "token", *(F.get("ws", F.col("pos") + k).alias(f"w{k + window - 1}") for k in around)
     )
+    same = _same([F.col(f"w{k}") for k in range(2 * window - 1)])
     joined = placed.join(prefixes, "token").select(*ROW_KEY, "item_id", "pos", "need", same.alias("same"))
+    found = _runs(joined, window)
+    counted = {"n_words": F.size("ws")}
+    return found.unionAll(
+        rows.select(*(counted.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) if f.name not in ROW_KEY else F.col(f.name) for f in found.schema))
+    )
+
+
+def _same(own: list[Column]) -> Column:
+    """A character for each of a document's surrounding words: 1 where the item's is the same."""
+    return F.concat(*(F.when(w == F.get("near", F.lit(k)), "1").otherwise("0") for k, w in enumerate(own)))
+
+
+def _runs(joined: DataFrame, window: int) -> DataFrame:
+    """``hits`` of ``joined (_id, _tk, item_id, pos, need, same)``."""
     # The position itself is character ``window`` of ``same``; find the run of equal words that holds it.
     before = F.length(F.substring_index(F.substring("same", 1, window), "0", -1))
     after = F.length(F.substring_index(F.expr(f"substring(same, {window})"), "0", 1))
