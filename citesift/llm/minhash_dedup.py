@@ -357,6 +357,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, that of its smallest id; wordless texts all stay."""
     kept = durable(near_duplicates(docs).filter("kept"), "near-kept")
     one = kept.filter("comp is not null").groupBy("comp").agg(F.min_by("_id", "_tk").alias("_id"), F.min("_tk").alias("_tk"))
-    kept = one.select(*ROW_KEY).unionAll(kept.filter("comp is null").select(*ROW_KEY))
-    rows = packed(docs).join(kept, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
-    return unpacked(rows, docs.columns, {})
+    rows = packed(docs)
+    worded = F.coalesce(F.col("_row.text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    chosen = rows.filter(worded).join(one, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    return unpacked(chosen.select(*rows.columns).unionAll(rows.filter(~worded)), docs.columns, {})
