@@ -16,7 +16,8 @@ from citesift.session import durable
 
 # Search terms of the model queries, chosen to be frequent in the test texts.
 MODEL_QUERIES = views.QUERIES + (Query("thatin AND (ononst OR inoran)", (("thatin",), ("ononst", "inoran", "rewh"))),)
-GRID = [0.03, 0.1, 1.0]
+# Ten values, evenly spaced by their logarithms.
+GRID = [10 ** (k / 3 - 2) for k in range(10)]
 # The default strength selects nothing from a few hundred labelled documents.
 SETTINGS = evaluate.Settings(c=1.0)
 
