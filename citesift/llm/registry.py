@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citesift.llm import (
+    centroid_clustering,
     decontaminate,
     embedding_dedup,
+    hard_negatives,
     license_scan,
     line_dedup,
     lm_scoring,
     minhash_dedup,
     pii,
+    quality_rules,
     stages,
     toxicity,
     url_filter,
@@ -99,6 +102,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "n_covered",
+    )
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -110,6 +137,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -133,6 +163,9 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from marked group by r, doc_id
 """,
     "op3_url_filters": url_filter.sql(),
+    "op11_hard_negatives": hard_negatives.sql(),
+    "op12_quality_rules": quality_rules.sql(),
+    "op13_centroid_clustering": centroid_clustering.sql(),
     "op8_decontamination": rf"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
 i as (select item_id, {_WORDS} as ws from benchmark),
