@@ -30,15 +30,14 @@ def filter_tokens(tokens: Column, closed_class: Sequence[str] = CLOSED_CLASS) ->
     return F.filter(tokens, lambda t: keep_token(t, closed_class))
 
 
-def base_form(token: Column, irregular: Mapping[str, str] = IRREGULAR_FORMS) -> Column:
-    """Table lookup first, then English suffix rules."""
-    table = F.create_map(*[F.lit(x) for pair in irregular.items() for x in pair])
+def suffix_rules(token: Column) -> Column:
+    """English suffix rules."""
     n = F.length(token)
 
     def without(k: int) -> Column:
         return F.substring(token, F.lit(1), n - k)
 
-    by_rule = (
+    return (
         F.when(token.endswith("ies") & (n > 4), F.concat(without(3), F.lit("y")))
         .when(token.rlike("(ss|sh|ch|x|z)es$") & (n > 4), without(2))
         .when(token.endswith("s") & ~token.rlike("(ss|us|is)$") & (n > 3), without(1))
@@ -46,8 +45,13 @@ def base_form(token: Column, irregular: Mapping[str, str] = IRREGULAR_FORMS) ->
         .when(token.endswith("ed") & (n > 4), without(2))
         .otherwise(token)
     )
+
+
+def base_form(token: Column, irregular: Mapping[str, str] = IRREGULAR_FORMS) -> Column:
+    """Table lookup first, then the suffix rules."""
+    table = F.create_map(*[F.lit(x) for pair in irregular.items() for x in pair])
     # The map is scanned only for its own keys, found by hash lookup.
-    return F.when(token.isin(list(irregular)), F.element_at(table, token)).otherwise(by_rule)
+    return F.when(token.isin(list(irregular)), F.element_at(table, token)).otherwise(suffix_rules(token))
 
 
 def lemmatize(tokens: Column, irregular: Mapping[str, str] = IRREGULAR_FORMS) -> Column:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesift.functions.text import lemmas, prefix_title
+from citesift.functions.arrays import exploded, positions_in_rows
+from citesift.functions.text import TITLE_PREFIX, filter_tokens, lemmas, prefix_title, suffix_rules, tokenize
 
 # Fixed value: articles from this day on are new.
 CUTOFF_DATE = dt.date(2020, 4, 17)
@@ -147,16 +148,54 @@ def preview_pairs(articles: DataFrame, records: DataFrame, n: int = 10, width: i
     )
 
 
+def lemmatize_by_table(
+    records: DataFrame, lexicon: DataFrame, tokens: str = "tokens", id_col: str = "article_id"
+) -> DataFrame:
+    """Tokens reduced by a table ``form, lemma`` of any size; forms it lacks by the suffix rules.
+
+    Each different word of a row is joined once, with its positions, and the lemmas are
+    put back by position. Whether the lexicon is broadcast is left to its measured size;
+    a frequent word is split like any skewed join key. Of a form that is listed twice the
+    smallest lemma counts. Ids must be unique.
+    """
+    words = positions_in_rows(records.select(id_col, tokens), tokens, "_words")
+    each = exploded(words, [id_col], "_words", "_w").select(id_col, F.col("_w.value").alias("form"), "_w.at")
+    forms = lexicon.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    lemma = F.coalesce("lemma", suffix_rules(F.col("form")))
+    found = each.join(forms, "form", "left").select(id_col, "at", lemma.alias("_lemma"))
+    # As many entries as the row has tokens.
+    placed = found.select(
+        id_col, F.transform("at", lambda p: F.struct(p.alias("p"), F.col("_lemma").alias("t"))).alias("_parts")
+    )
+    back = placed.groupBy(id_col).agg(F.sort_array(F.flatten(F.collect_list("_parts"))).alias("_parts"))
+    lemmas_of = F.transform(F.coalesce("_parts", F.array()), lambda x: x["t"])
+    return records.drop(tokens).join(back, id_col, "left").withColumn(tokens, lemmas_of).drop("_parts")
+
+
 def build_records(
     articles: DataFrame,
     keep: Sequence[str | Column] = (),
     tagger: Callable[[pd.Series], pd.Series] | None = None,
+    lexicon: DataFrame | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """``article_id, tokens``: prefixed title lemmas, then abstract lemmas.
 
     ``tagger`` replaces the built-in token filter and lemmatiser: it gets a batch of
-    texts and returns the kept lemmas of each, for users with a tagging model.
+    texts and returns the kept lemmas of each, for users with a tagging model. ``lexicon``
+    replaces the built-in table of irregular forms, see ``lemmatize_by_table``. ``parts``
+    spreads the texts over so many tasks first, for input that lies in few files.
     """
+    if parts:
+        # Alone the key decides, so that a task run again gets the same rows.
+        articles = articles.repartition(parts, "article_id")
+    if lexicon is not None:
+        title, abstract = (filter_tokens(tokenize(F.col(c))) for c in ("title", "abstract"))
+        plain = articles.select("article_id", *keep, title.alias("_title"), abstract.alias("_abstract"))
+        plain = plain.withColumn("tokens", F.concat("_title", "_abstract")).withColumn("_n", F.size("_title"))
+        found = lemmatize_by_table(plain.drop("_title", "_abstract"), lexicon)
+        tokens = F.transform("tokens", lambda t, i: F.when(i < F.col("_n"), F.concat(F.lit(TITLE_PREFIX), t)).otherwise(t))
+        return found.withColumn("tokens", tokens).drop("_n")
     base = F.pandas_udf(tagger, "array<string>") if tagger else lemmas
     tokens = F.concat(prefix_title(base(F.col("title"))), base(F.col("abstract")))
     return articles.select("article_id", *keep, tokens.alias("tokens"))

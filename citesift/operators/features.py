@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citesift.functions.arrays import exploded
+from citesift.functions.arrays import counted_in_rows, exploded
 from citesift.functions.text import TITLE_PREFIX, add_bigrams, lemmas, prefix_title
 from citesift.operators.retrieval import Query
 
@@ -86,33 +86,22 @@ class PublicationTypes:
 
 
 def bigram_counts(records: DataFrame) -> DataFrame:
-    """``article_id, bigram, n``."""
-    return (
-        exploded(add_bigrams(records, "_bigrams"), ["article_id"], "_bigrams", "bigram")
-        .groupBy("article_id", "bigram")
-        .agg(F.count("*").alias("n"))
-    )
+    """``article_id, bigram, n``, counted within each row."""
+    counted = counted_in_rows(add_bigrams(records, "_bigrams"), "_bigrams", "_counts")
+    return exploded(counted, ["article_id"], "_counts", "_c").select("article_id", F.col("_c.value").alias("bigram"), "_c.n")
 
 
 def term_frequencies(docs: DataFrame, terms: str) -> DataFrame:
     """``term, df, tf`` over all documents, from their arrays of terms.
 
-    A document's occurrences and its distinct terms are exploded together, so one
-    shuffle keyed by term alone is enough, with map-side sums. Counting per
-    document and term first would shuffle nearly the whole corpus.
+    A document gives one row for each of its different terms, so one shuffle keyed by
+    term alone is enough, with map-side sums.
     """
-
-    def tagged(array: Column, df: int, tf: int) -> Column:
-        return F.transform(
-            array, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(tf).alias("tf"))
-        )
-
-    seen = F.concat(tagged(F.col(terms), 0, 1), tagged(F.array_distinct(terms), 1, 0))
+    counted = counted_in_rows(docs.select(terms), terms, "_counts")
     return (
-        docs.select(F.explode(seen).alias("_s"))
-        .select("_s.*")
-        .groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+        exploded(counted, [], "_counts", "_c")
+        .groupBy(F.col("_c.value").alias("term"))
+        .agg(F.count("*").alias("df"), F.sum("_c.n").alias("tf"))
     )
 
 
@@ -188,14 +177,15 @@ def lda_dictionary(
 def bag_of_words(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``article_id, term, n`` for the terms of the dictionary.
 
-    The dictionary is capped at ``keep_n`` terms, so it is broadcast and tokens
-    outside it are dropped before anything is shuffled.
+    Counted within each row. The dictionary is capped at ``keep_n`` terms, so it is
+    broadcast, and nothing of the documents is shuffled.
     """
+    counted = counted_in_rows(records.select("article_id", "tokens"), "tokens", "_counts")
     return (
-        exploded(records, ["article_id"], "tokens", "term")
+        exploded(counted, ["article_id"], "_counts", "_c")
+        .select("article_id", F.col("_c.value").alias("term"), "_c.n")
         .join(F.broadcast(dictionary.select("term")), "term")
-        .groupBy("article_id", "term")
-        .agg(F.count("*").alias("n"))
+        .select("article_id", "term", "n")
     )
 
 

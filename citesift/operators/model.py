@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citesift.operators import path
 from citesift.operators.folds import balanced_weight, kfold
 from citesift.session import durable
 
@@ -18,7 +19,6 @@ DEFAULT_C = 0.03
 # The even grid of the inner search.
 GRID_START, GRID_STOP, GRID_POINTS = 0.01, 1.0, 200
 SELECTION_THRESHOLD = 1e-5
-ROWS_PER_TASK = 20_000
 
 
 def even_grid(points: int = GRID_POINTS) -> list[float]:
@@ -51,46 +51,31 @@ def collapse(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by, "features", "label").agg(F.count("*").alias("n"))
 
 
-def fit_l1_logistic(train: DataFrame, c: float = DEFAULT_C, max_iter: int = 200, tol: float = 1e-6) -> L1Model:
+def fit_l1_logistic(train: DataFrame, c: float = DEFAULT_C, tasks: int | None = None) -> L1Model:
     """Minimise ``|coefficients, intercept|_1 + c * sum(weight * loss)``.
 
     ``train`` holds ``features``, ``label`` and optionally ``n``, the times a row
-    counts; classes are balanced. The intercept is penalised like any coefficient,
-    so it is fitted as the weight of a constant column. A column that is really
-    constant would be skipped, therefore every row is written in one of two
-    equivalent forms, ``(x, 1, y)`` or ``(-x, -1, 1 - y)``, which have the same loss.
+    counts; classes are balanced, and the intercept is penalised like any coefficient.
+    ``tasks`` is the number of parts the rows are read in. The fit is optimal to a
+    residual of ``path.TOLERANCE``, see ``optimality``.
     """
-    count = F.col("n") if "n" in train.columns else F.lit(1)
-    # Two rows.
-    classes = train.groupBy("label").agg(F.sum(count).alias("n"), F.count("*").alias("rows")).collect()
-    sizes = {r["label"]: r["n"] for r in classes}
-    sign = F.when(F.pmod(F.xxhash64("features", "label"), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    extended = F.concat(F.col("features"), F.array(F.lit(1.0)))
-    rows = train.withColumn("_sign", sign).select(
-        array_to_vector(F.transform(extended, lambda x: x * F.col("_sign"))).alias("_x"),
-        F.when(F.col("_sign") > 0, F.col("label")).otherwise(1 - F.col("label")).cast("double").alias("_y"),
-        (balanced_weight(sizes) * count).alias("_w"),
-    )
-    # Every iteration is one job: a small training set is read by few tasks.
-    rows = rows.coalesce(1 + sum(r["rows"] for r in classes) // ROWS_PER_TASK).persist()
-    solver = LogisticRegression(
-        featuresCol="_x",
-        labelCol="_y",
-        weightCol="_w",
-        elasticNetParam=1.0,
-        # Spark divides the loss by the sum of weights, which is the row count here.
-        regParam=1.0 / (c * sum(sizes.values())),
-        fitIntercept=False,
-        standardization=False,
-        family="binomial",
-        maxIter=max_iter,
-        tol=tol,
+    return _fits(train, F.lit(1), 1, {0: c}, tasks)[0]
+
+
+def _fits(rows: DataFrame, part: Column, parts: int, c: dict[int, float], tasks: int | None) -> dict[int, L1Model]:
+    """For every number in ``c`` the model of the rows whose ``part`` it is not."""
+    count = F.col("n") if "n" in rows.columns else F.lit(1)
+    chosen = rows.select(
+        F.lit(0).alias("outer"), part.cast("int").alias("inner"), "features", "label", count.cast("long").alias("n")
     )
+    data = path.blocks(chosen, parts, tasks)
+    grid = sorted(set(c.values()))
     try:
-        fitted = [float(w) for w in solver.fit(rows).coefficients.toArray()]
+        found = path.regularisation_path(data, grid)
     finally:
-        rows.unpersist()
-    return L1Model(fitted[:-1], fitted[-1], c)
+        data.rows.unpersist()
+    weights = {k: found[0, k][grid.index(v)].tolist() if (0, k) in found else [0.0] for k, v in c.items()}
+    return {k: L1Model(w[:-1], w[-1], c[k]) for k, w in weights.items()}
 
 
 def score(df: DataFrame, model: L1Model) -> DataFrame:
@@ -115,13 +100,12 @@ def run_all(tasks: Iterable, job: Callable, threads: int) -> list:
         return pool.map(job, list(tasks), chunksize=1)
 
 
-def fit_folds(patterns: DataFrame, folds: Sequence[int], c: dict[int, float], threads: int = 4) -> dict[int, L1Model]:
-    """For every fold, the model of all other folds' rows."""
+def fit_folds(rows: DataFrame, k: int, c: dict[int, float], tasks: int | None = None) -> dict[int, L1Model]:
+    """For every fold in ``c``, the model of all other folds' rows at its strength; ``k`` folds in all.
 
-    def job(fold: int) -> tuple[int, L1Model]:
-        return fold, fit_l1_logistic(patterns.filter(F.col("fold") != fold), c[fold])
-
-    return dict(run_all(folds, job, threads))
+    All fits go through the passes of one path, over rows that are there once.
+    """
+    return _fits(rows, F.col("fold"), k, c, tasks)
 
 
 def grid_search_recall(
@@ -130,45 +114,87 @@ def grid_search_recall(
     grid: Sequence[float] | None = None,
     inner_k: int = 3,
     seed: int = 142,
-    threads: int = 8,
+    compact: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """``fold, c, recall``: mean recall at 0.5 over the inner folds, per outer fold.
 
     ``rows`` holds ``article_id, fold, label, features``. Every row joins the training
-    set of each fold but its own, inner folds are dealt out within each, and equal
-    rows are collapsed once for all fits. All predictions are one join and one
-    aggregation.
+    set of each fold but its own, and inner folds are dealt out within each. All fits of
+    all folds go through the passes of one screened path. ``compact`` collapses equal
+    rows first, which pays for binary features; ``tasks`` is the number of parts the
+    training rows are read in.
     """
     grid = list(grid or even_grid())
     members = rows.withColumn("outer", F.explode(F.array(*[F.lit(f) for f in folds]))).filter(
         F.col("outer") != F.col("fold")
     )
     inner = kfold(members, inner_k, seed, group=("outer",), name="inner")
-    patterns = durable(collapse(inner, ["outer", "inner"]), "patterns").persist()
-
-    def job(task: tuple[int, int, float]) -> tuple:
-        outer, held_out, c = task
-        train = patterns.filter((F.col("outer") == outer) & (F.col("inner") != held_out))
-        model = fit_l1_logistic(train, c)
-        return outer, held_out, c, model.coefficients, model.intercept
-
+    chosen = collapse(inner, ["outer", "inner"]) if compact else inner.select(
+        "outer", "inner", "features", "label", F.lit(1).cast("long").alias("n")
+    )
+    data = path.blocks(durable(chosen, "patterns"), inner_k, tasks)
     try:
-        fits = run_all([(o, i, c) for o in folds for i in range(inner_k) for c in grid], job, threads)
-        models = rows.sparkSession.createDataFrame(
-            fits, "outer int, inner int, c double, weights array<double>, intercept double"
-        )
-        # One row per fit.
-        predicted = patterns.filter("label = 1").join(F.broadcast(models), ["outer", "inner"])
-        hit = probability(F.col("features"), F.col("weights"), F.col("intercept")) > 0.5
-        by_inner = predicted.groupBy("outer", "inner", "c").agg(
-            (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("_r")
-        )
-        result = by_inner.groupBy(F.col("outer").alias("fold"), "c").agg(
-            (F.sum("_r") / inner_k).alias("recall")
-        )
-        return durable(result, "grid")
+        hits = path.held_out_hits(data, path.regularisation_path(data, grid))
     finally:
-        patterns.unpersist()
+        data.rows.unpersist()
+    # One row per fold and value of C.
+    found = []
+    for outer in sorted({o for o, _ in hits}):
+        parts = [hits[outer, held] for held in range(inner_k) if (outer, held) in hits]
+        mean = sum(h / n if n else 0 * h for h, n in parts) / inner_k
+        found += [(outer, c, float(r)) for c, r in zip(grid, mean)]
+    return rows.sparkSession.createDataFrame(found, "fold int, c double, recall double")
+
+
+def optimality(rows: DataFrame, models: dict[int, L1Model], names: Sequence[str]) -> DataFrame:
+    """``fold, feature, documents, residual``: how far each coefficient is from its optimality condition.
+
+    A fit is optimal if the gradient of the weighted loss is ``-sign(w) / c`` where a
+    coefficient is not zero, and at most ``1 / c`` where it is. The residual is what is
+    missing, as a share of ``1 / c``; it needs no other solver. ``rows`` hold ``fold, features,
+    label`` and optionally ``n``; each fold's model is held against all other folds.
+    ``documents`` counts training rows with the feature, ``(intercept)`` is the last one.
+    """
+    count = F.col("n") if "n" in rows.columns else F.lit(1).cast("long")
+    counted = rows.groupBy("fold", "label").agg(F.sum(count).alias("n")).collect()
+    outer = F.col("outer")
+    weight = weights = intercept = F.lit(None)
+    for fold, fitted in models.items():
+        sizes: dict[int, int] = {}
+        for r in counted:
+            if r["fold"] != fold:
+                sizes[r["label"]] = sizes.get(r["label"], 0) + r["n"]
+        here = outer == fold
+        weight = F.when(here, balanced_weight(sizes)).otherwise(weight)
+        weights = F.when(here, fitted.weights()).otherwise(weights)
+        intercept = F.when(here, F.lit(fitted.intercept)).otherwise(intercept)
+    members = rows.withColumn("outer", F.explode(F.lit(sorted(models)))).filter("outer <> fold")
+    error = (probability(F.col("features"), weights, intercept) - F.col("label")) * weight * count
+    extended = F.concat("features", F.array(F.lit(1.0)))
+    pulls = members.withColumns({"_e": error, "_n": count}).select(
+        "outer",
+        array_to_vector(F.transform(extended, lambda x: x * F.col("_e"))).alias("_g"),
+        array_to_vector(F.transform(extended, lambda x: F.when(x != 0, F.col("_n")).otherwise(0).cast("double"))).alias("_d"),
+    )
+    total = Summarizer.metrics("sum")
+    sums = pulls.groupBy("outer").agg(
+        vector_to_array(total.summary(F.col("_g"))["sum"]).alias("g"),
+        vector_to_array(total.summary(F.col("_d"))["sum"]).alias("d"),
+    )
+    fits = [
+        (fold, i, name, w, 1.0 / m.c)
+        for fold, m in models.items()
+        for i, (name, w) in enumerate(zip([*names, "(intercept)"], [*m.coefficients, m.intercept]))
+    ]
+    # One row per fold and feature.
+    fitted_rows = rows.sparkSession.createDataFrame(fits, "fold int, i int, feature string, w double, penalty double")
+    pulled = sums.select(F.col("outer").alias("fold"), F.posexplode(F.arrays_zip("g", "d")).alias("i", "s"))
+    g, penalty = F.col("s.g"), F.col("penalty")
+    missing = F.when(F.col("w") == 0, F.greatest(F.abs(g) - penalty, F.lit(0.0))).otherwise(F.abs(g + F.signum("w") * penalty))
+    return pulled.join(F.broadcast(fitted_rows), ["fold", "i"]).select(
+        "fold", "feature", F.round("s.d").cast("long").alias("documents"), (missing / penalty).alias("residual")
+    )
 
 
 def best_c(search: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesift.functions.arrays import exploded
+from citesift.functions.arrays import exploded, positions_in_rows
 from citesift.operators.features import lda_dictionary
 from citesift.operators.ordering import attach
 from citesift.session import durable
@@ -105,6 +105,10 @@ class Topics:
         )
 
 
+# In the sums, stands for all windows instead of those of a topic.
+_ALL = -1
+
+
 def window_counts(records: DataFrame, topic_terms: DataFrame, window: int = 110) -> tuple[DataFrame, DataFrame]:
     """Sliding-window occurrence of the topic words: ``(pairs, total)``.
 
@@ -115,59 +119,104 @@ def window_counts(records: DataFrame, topic_terms: DataFrame, window: int = 110)
     Windows are never listed. The windows that hold a word at position ``p`` are an
     interval, so the windows holding a word, or either of two, are the length of a
     union of intervals, read off the gaps between sorted positions; those holding
-    both follow by inclusion and exclusion.
+    both follow by inclusion and exclusion. All of that happens within a document's
+    row, on the positions of its topic words; only ``(topic, term_a, term_b, windows)``
+    is shuffled, with map-side sums.
     """
     # Topics times top words, a few thousand rows at most by its definition.
-    terms = F.broadcast(topic_terms.select("topic", "term").distinct())
-    last_start = F.greatest(F.size("tokens") - window, F.lit(0))
-    positions = exploded(records, ["article_id", last_start.alias("_last")], "tokens", "term", "_p")
-    # Only the positions of topic words; stored, as they are read for both results.
-    hits = durable(positions.join(terms, "term"), "hits")
-    total = (
-        hits.groupBy("article_id").agg(F.first("_last").alias("_last")).agg(
-            F.coalesce(F.sum(F.col("_last") + 1), F.lit(0)).alias("n_windows")
-        )
+    topics: dict[str, list[int]] = {}
+    for r in topic_terms.select("topic", "term").distinct().collect():
+        topics.setdefault(r["term"], []).append(r["topic"])
+    schema = "topic int, term_a string, term_b string, windows long"
+    if not topics:
+        spark = records.sparkSession
+        return spark.createDataFrame([], schema), spark.createDataFrame([(0,)], "n_windows long")
+    last = F.greatest(F.size("tokens") - window, F.lit(0)).alias("_last")
+    placed = positions_in_rows(records.select("tokens", last), "tokens", "_words", lambda t: t.isin(list(topics)))
+    # Looked up once for each different word of a document.
+    table = F.create_map(*[F.lit(x) for term, numbers in topics.items() for x in (term, sorted(numbers))])
+    words = placed.select(
+        "_last",
+        F.transform(
+            "_words",
+            lambda w: F.struct(
+                w["value"].alias("term"),
+                w["at"].alias("at"),
+                F.element_at(table, w["value"]).alias("topics"),
+                _covered(w["at"], F.col("_last"), window).alias("n"),
+            ),
+        ).alias("_words"),
     )
-    # One row per document, topic and word; the words of a topic are bounded.
-    words = hits.groupBy("article_id", "topic", "term").agg(
-        F.first("_last").alias("_last"), F.array_sort(F.collect_list("_p")).alias("_ps")
+    by_topic = words.select(
+        "_last",
+        "_words",
+        F.transform(
+            F.array_distinct(F.flatten(F.transform("_words", lambda w: w["topics"]))),
+            lambda t: F.struct(
+                t.alias("topic"), F.filter("_words", lambda w: F.array_contains(w["topics"], t)).alias("words")
+            ),
+        ).alias("_topics"),
     )
-    left = words.select("article_id", "topic", F.col("term").alias("term_a"), "_last", F.col("_ps").alias("_pa"))
-    right = words.select("article_id", "topic", F.col("term").alias("term_b"), F.col("_ps").alias("_pb"))
-    both = left.join(right, ["article_id", "topic"]).filter(F.col("term_a") <= F.col("term_b"))
-
-    def covered(column: str):
-        """Number of start positions in 0.._last within ``window - 1`` before a position."""
-        state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("next"))
-
-        def step(acc, p):
-            low = F.greatest(p - (window - 1), acc["next"])
-            high = F.least(p, F.col("_last"))
-            return F.struct(
-                (acc["n"] + F.greatest(high - low + 1, F.lit(0))).cast("long").alias("n"),
-                F.greatest(acc["next"], high + 1).cast("long").alias("next"),
-            )
 
-        return F.aggregate(column, state, step, lambda acc: acc["n"])
+    def pairs_of(topic: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                topic["words"],
+                lambda a, i: F.transform(
+                    F.slice(topic["words"], i + 1, F.size(topic["words"])),
+                    lambda b: F.struct(
+                        topic["topic"].cast("int").alias("topic"),
+                        a["term"].alias("term_a"),
+                        b["term"].alias("term_b"),
+                        F.when(a["term"] == b["term"], a["n"])
+                        .otherwise(a["n"] + b["n"] - _covered(F.sort_array(F.concat(a["at"], b["at"])), F.col("_last"), window))
+                        .alias("windows"),
+                    ),
+                ),
+            )
+        )
 
-    union = F.array_sort(F.concat("_pa", "_pb"))
-    counted = both.select("topic", "term_a", "term_b", "_last", "_pa", "_pb", union.alias("_pu")).select(
-        "topic",
-        "term_a",
-        "term_b",
-        F.when(F.col("term_a") == F.col("term_b"), covered("_pa"))
-        .otherwise(covered("_pa") + covered("_pb") - covered("_pu"))
-        .alias("_w"),
+    every = F.struct(
+        F.lit(_ALL).alias("topic"), F.lit("").alias("term_a"), F.lit("").alias("term_b"), (F.col("_last") + 1).cast("long").alias("windows")
+    )
+    found = by_topic.select(
+        F.concat(
+            F.flatten(F.transform("_topics", pairs_of)),
+            F.when(F.size("_words") > 0, F.array(every)).otherwise(F.array()),
+        ).alias("_pairs")
     )
-    pairs = counted.groupBy("topic", "term_a", "term_b").agg(F.sum("_w").alias("windows"))
-    return pairs, total
+    # As many rows as topics have pairs of words, read for both results.
+    sums = durable(
+        exploded(found, [], "_pairs", "_p")
+        .select("_p.*")
+        .groupBy("topic", "term_a", "term_b")
+        .agg(F.sum("windows").alias("windows")),
+        "windows",
+    )
+    total = sums.filter(F.col("topic") == _ALL).agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n_windows"))
+    return sums.filter(F.col("topic") != _ALL), total
+
+
+def _covered(positions: Column, last: Column, window: int) -> Column:
+    """Number of start positions in ``0..last`` at most ``window - 1`` before a position; positions rise."""
+    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("next"))
+
+    def step(acc: Column, p: Column) -> Column:
+        low = F.greatest(p - (window - 1), acc["next"])
+        high = F.least(p, last)
+        return F.struct(
+            (acc["n"] + F.greatest(high - low + 1, F.lit(0))).cast("long").alias("n"),
+            F.greatest(acc["next"], high + 1).cast("long").alias("next"),
+        )
+
+    return F.aggregate(positions, state, step, lambda acc: acc["n"])
 
 
 def topic_coherence(records: DataFrame, topic_terms: DataFrame, window: int = 110) -> DataFrame:
     """``topic, coherence``: normalised pointwise mutual information vectors of the
     words against the vector of their topic, by cosine, averaged over the words."""
     eps = 1e-12
-    pairs, total = (durable(df, "windows") for df in window_counts(records, topic_terms, window))
+    pairs, total = window_counts(records, topic_terms, window)
     single = pairs.filter("term_a = term_b").select("topic", F.col("term_a").alias("term"), F.col("windows").alias("w"))
     words = topic_terms.select("topic", "term").distinct().join(single, ["topic", "term"], "left").na.fill(0, ["w"])
     mirrored = pairs.unionByName(

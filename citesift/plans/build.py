@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from citesift.operators import articles as ops
 from citesift.operators import retrieval as ret
-from citesift.sources.pages import Selector, html_field, html_list_field, list_section
+from citesift.sources.pages import Selector, with_fields
 
 # Where the article pages keep their fields.
 TITLE = Selector(css_class="heading-title")
 ABSTRACT = Selector(element_id="enc-abstract")
-TYPE_BUTTON = Selector(tag="button")
-TYPE_SECTION = "publication-types"
+TYPE_BUTTON = Selector("button", inside=Selector(element_id="publication-types"), path=("ul", "li", "div"))
 
 
 def articles_from_pages(
@@ -25,7 +24,6 @@ def articles_from_pages(
     title: Selector = TITLE,
     abstract: Selector = ABSTRACT,
     types: Selector = TYPE_BUTTON,
-    types_section: str = TYPE_SECTION,
 ) -> DataFrame:
     """Merge query results and extract their articles from fetched pages.
 
@@ -34,13 +32,14 @@ def articles_from_pages(
     """
     extracted = ret.extract_id_date(retrieved)
     found = ret.merge_queries(extracted, with_order=True).withColumn("url", ops.article_url(F.col("pubmed_id"), url_prefix))
-    html = F.col("html")
-    return found.join(pages, "url").select(
+    # Blocks stay apart, or the last word of one would run into the first of the next.
+    fields = with_fields(pages, {"title": title, "abstract": abstract}, {"publication_types": types}, "\n")
+    return found.join(fields.drop("html"), "url").select(
         "url",
         "publication_date",
-        html_list_field(list_section(html, types_section), types).alias("publication_types"),
-        html_field(html, title).alias("title"),
-        html_field(html, abstract).alias("abstract"),
+        "publication_types",
+        "title",
+        "abstract",
         # Text, like the keys of supplementary articles, but in the order of finding.
         F.format_string("%012d-%012d", "found.term_idx", "found.ord").alias("ord"),
     )

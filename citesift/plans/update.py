@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.operators import export, metrics, model
-from citesift.operators.articles import CUTOFF_DATE, build_records, temporal_split
+from citesift.operators.articles import build_records
 from citesift.operators.feature_sets import feature_set
 from citesift.operators.retrieval import Query
 from citesift.session import durable
@@ -19,25 +18,29 @@ ERROR_CUTOFF = 0.5
 
 
 def score_new(
-    articles: DataFrame,
+    old: DataFrame,
+    new: DataFrame,
     queries: Sequence[Query],
     kind: str = "simple",
     c: float = model.DEFAULT_C,
-    cutoff: dt.date = CUTOFF_DATE,
     n_topics: int = 50,
     lda_iterations: int = 20,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Fit on all labelled documents before the cut-off date, without tuning, and score
-    every document from that date on."""
-    columns = ["publication_types", "publication_date", F.col("relevant").alias("label")]
-    old, new = temporal_split(durable(build_records(articles, columns), "records"), cutoff)
-    train = old.filter("label is not null")
-    fitted = feature_set(kind, train, queries, n_topics, lda_iterations)
-    rows = fitted.transform(train, ["label"])
+    """Fit on all labelled documents of ``old``, without tuning, and score every document of ``new``.
+
+    The two are read apart, ``read_articles`` with a date range for each, so that neither
+    pass goes over the other's files. ``new`` is read once, and its tokens are not stored.
+    """
+    train = old.filter("relevant is not null")
+    records = durable(build_records(train, ["publication_types", F.col("relevant").alias("label")], parts=parts), "records")
+    fitted = feature_set(kind, records, queries, n_topics, lda_iterations)
+    rows = fitted.transform(records, ["label"])
     if kind == "simple":
         rows = model.collapse(rows)
-    chosen = model.fit_l1_logistic(durable(rows, "train"), c)
-    return model.score(fitted.transform(new, ["article_id"]), chosen).select("article_id", "relevance")
+    chosen = model.fit_l1_logistic(rows, c, parts)
+    unseen = build_records(new, ["publication_types"], parts=parts)
+    return model.score(fitted.transform(unseen, ["article_id"]), chosen).select("article_id", "relevance")
 
 
 def error_tables(scores: DataFrame, articles: DataFrame, cutoff: float = ERROR_CUTOFF) -> dict[str, DataFrame]:
@@ -50,7 +53,10 @@ def error_tables(scores: DataFrame, articles: DataFrame, cutoff: float = ERROR_C
     }
 
 
-def save_tables(new_scores: DataFrame, scores: DataFrame, articles: DataFrame, path: str) -> None:
-    write_ranked(export.ranked_export(durable(new_scores, "scores"), articles), f"{path}/new_articles")
-    for name, table in error_tables(scores, articles).items():
-        write_ranked(table, f"{path}/{name}")
+def save_tables(
+    new_scores: DataFrame, new: DataFrame, scores: DataFrame, old: DataFrame, path: str, slices: int = 1
+) -> None:
+    """Ranked tables of new and of misclassified articles under ``path``, each in ``slices`` files."""
+    write_ranked(export.ranked_export(durable(new_scores, "scores"), new), f"{path}/new_articles", slices)
+    for name, table in error_tables(scores, old).items():
+        write_ranked(table, f"{path}/{name}", slices)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.operators import export, metrics
-from citesift.operators.articles import temporal_split
+from citesift.operators.articles import CUTOFF_DATE, temporal_split
 from citesift.plans import update
+from citesift.plans.build import prepare
 from citesift.registry import views
 from citesift.registry.modelling import MODEL_QUERIES
 from citesift.session import durable, scratch_path
-from citesift.sources.articles import write_ranked
+from citesift.sources.articles import read_articles, write_articles, write_ranked
+
 
 def _wrong(spark, sf_dir) -> DataFrame:
     pred = metrics.classify(views.scores(spark, sf_dir, True), 0.4)
@@ -53,8 +55,23 @@ def error_tables(spark, sf_dir) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
+def _scored_new(spark, sf_dir) -> DataFrame:
+    """The articles stored, old and new ones read by their dates, the new ones scored."""
+    path = scratch_path(spark, "articles")
+    write_articles(views.articles(spark, sf_dir), path)
+    old = prepare(read_articles(spark, path, before=CUTOFF_DATE))
+    new = prepare(read_articles(spark, path, since=CUTOFF_DATE, undated=True))
+    return update.score_new(old, new, MODEL_QUERIES, c=1.0, parts=views.PARTS)
+
+
+def new_scores(spark, sf_dir) -> DataFrame:
+    return _scored_new(spark, sf_dir)
+
+
 def score_new(spark, sf_dir) -> DataFrame:
-    return update.score_new(views.articles(spark, sf_dir), MODEL_QUERIES, c=1.0)
+    """Every article from the cut-off date on, and whether its score is a probability; the scores are ``new_scores``."""
+    scored = (F.col("relevance") >= 0) & (F.col("relevance") <= 1)
+    return _scored_new(spark, sf_dir).select("article_id", scored.alias("scored"))
 
 
 def display_fields(spark, sf_dir) -> DataFrame:
@@ -78,6 +95,7 @@ QUERIES = {
     "ranked_export": ranked_export,
     "error_tables": error_tables,
     "score_new": score_new,
+    "new_scores": new_scores,
     "display_fields": display_fields,
     "paginate": paginate,
     "page_count": page_count,
@@ -117,4 +135,6 @@ select article_id, rank, cast(ceil(rank / 10) as int) as page
 from (select article_id, row_number() over (order by score desc, article_id) as rank from fresh)""",
     "page_count": f"""with {views.SQL_ARTICLES}
 select cast(ceil(count(*) / 10) as int) as pages from articles where publication_date >= date '2020-04-17'""",
+    "score_new": f"""with {views.SQL_ARTICLES}
+select article_id, true as scored from articles where publication_date >= date '2020-04-17'""",
 }

@@ -15,6 +15,13 @@ from citesift.session import durable
 
 # Each iteration draws as many documents as there are, see Topics.fit.
 TOPICS, ITERATIONS = 50, 10
+# The words the query texts leave after the token filter, in sorted order, used to
+# name the columns of the wide form.
+_WORDS = ["de", "der", "en", "es", "la", "le", "therou", "tion", "und"]
+# Names of the columns of the families that need no fit but for their scale.
+_PLAIN = [p.lower().replace(" ", "_") for p in feat.PUBLICATION_TYPES] + [
+    f"{w}_in_{place}" for place in ("abstract", "title") for w in _WORDS
+]
 
 
 def _wide(df: DataFrame, column: str, names) -> DataFrame:
@@ -85,16 +92,35 @@ def _topics(spark, sf_dir) -> tuple[top.Topics, DataFrame]:
     return top.Topics.fit(records, TOPICS, max_iter=ITERATIONS), records
 
 
-def lda_fit(spark, sf_dir) -> DataFrame:
-    """Topic weights summed over the corpus, by topic."""
+def _topic_weights(spark, sf_dir) -> DataFrame:
     model, records = _topics(spark, sf_dir)
-    weights = exploded(model.transform(records), [], model.column, "w", "topic")
-    return weights.groupBy("topic").agg(F.sum("w").alias("weight"), F.count("*").alias("documents"))
+    return model.transform(records).select("article_id", F.col(model.column).alias("weights"))
+
+
+def lda_fit(spark, sf_dir) -> DataFrame:
+    """What every fit has: each topic weighs on all documents, and a document's weights are one together.
+
+    The weights themselves, which depend on the fit, are ``lda_transform``.
+    """
+    weights = _topic_weights(spark, sf_dir)
+    by_topic = exploded(weights, ["weights"], "weights", "w", "topic")
+    return by_topic.groupBy("topic").agg(
+        F.count_if((F.col("w") >= 0) & (F.col("w") <= 1)).alias("documents"),
+        F.count_if(F.abs(F.aggregate("weights", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-6).alias("whole"),
+    )
 
 
 def lda_transform(spark, sf_dir) -> DataFrame:
-    model, records = _topics(spark, sf_dir)
-    return _wide(model.transform(records), model.column, model.names)
+    weights = _topic_weights(spark, sf_dir)
+    return weights.select("article_id", *[F.col("weights")[i].alias(f"lda_{i}") for i in range(TOPICS)])
+
+
+def lda_documents(spark, sf_dir) -> DataFrame:
+    """For every document the number of its weights and their sum."""
+    total = F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)
+    return _topic_weights(spark, sf_dir).select(
+        "article_id", F.size("weights").cast("long").alias("n_weights"), F.round(total, 6).alias("total")
+    )
 
 
 def topic_terms(spark, sf_dir) -> DataFrame:
@@ -102,6 +128,22 @@ def topic_terms(spark, sf_dir) -> DataFrame:
     return model.terms(spark)
 
 
+def topic_term_order(spark, sf_dir) -> DataFrame:
+    """For every topic and rank: is the term one of the dictionary, named once, and no heavier than the one before?"""
+    model, records = _topics(spark, sf_dir)
+    dictionary = feat.lda_dictionary(records, records.count()).select("term", F.lit(True).alias("known"))
+    # Ten terms a topic.
+    named = model.terms(spark).join(dictionary, "term", "left")
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    return named.select(
+        "topic",
+        "rank",
+        F.coalesce("known", F.lit(False)).alias("in_dictionary"),
+        (F.count("*").over(Window.partitionBy("topic", "term")) == 1).alias("named_once"),
+        F.coalesce(F.col("weight") <= before, F.lit(True)).alias("falling"),
+    )
+
+
 def topic_coherence(spark, sf_dir) -> DataFrame:
     """Coherence of given topics: the forty most widespread dictionary terms, in tens."""
     records = views.records(spark, sf_dir)
@@ -142,12 +184,28 @@ def standardize(spark, sf_dir) -> DataFrame:
     )
 
 
-def feature_set_full(spark, sf_dir) -> DataFrame:
-    """The full scaled set, fitted on documents before the cut-off, for all documents."""
+def _full_set(spark, sf_dir) -> tuple[feature_sets.FeatureModel, DataFrame]:
     records = durable(views.records(spark, sf_dir), "records")
     old, _ = temporal_split(records)
     model = feature_sets.feature_set("full", old, views.QUERIES, TOPICS, ITERATIONS)
-    return _wide(model.transform(records, ["article_id"]), "features", model.names)
+    return model, model.transform(records, ["article_id"])
+
+
+def feature_set_full(spark, sf_dir) -> DataFrame:
+    """The full scaled set, fitted on documents before the cut-off, for all documents."""
+    model, rows = _full_set(spark, sf_dir)
+    return _wide(rows, "features", model.names)
+
+
+def feature_set_plain(spark, sf_dir) -> DataFrame:
+    """Of the full scaled set, the columns that no topic model decides, and the number of all columns."""
+    model, rows = _full_set(spark, sf_dir)
+    plain = [(i, n) for i, n in enumerate(model.names) if n in _PLAIN]
+    return rows.select(
+        "article_id",
+        F.size("features").cast("long").alias("n_columns"),
+        *[F.round(F.col("features")[i], 6).alias(n) for i, n in plain],
+    )
 
 
 QUERIES = {
@@ -162,18 +220,18 @@ QUERIES = {
     "bag_of_words": bag_of_words,
     "lda_fit": lda_fit,
     "lda_transform": lda_transform,
+    "lda_documents": lda_documents,
     "topic_terms": topic_terms,
+    "topic_term_order": topic_term_order,
     "topic_coherence": topic_coherence,
     "model_coherence": model_coherence,
     "combine": combine,
     "standardize": standardize,
     "feature_set_full": feature_set_full,
+    "feature_set_plain": feature_set_plain,
 }
 
 _QUERY_TEXT = " ".join(q.text() for q in views.QUERIES)
-# The words the query texts leave after the token filter, in sorted order, used to
-# name the columns of the wide form.
-_WORDS = ["de", "der", "en", "es", "la", "le", "therou", "tion", "und"]
 
 _VOCAB = f"""
 words as (select unnest(list_distinct({views.sql_lemmas("q")})) as w from (select '{_QUERY_TEXT}' as q)),
@@ -275,4 +333,22 @@ s as (select avg(f0) m0, stddev_pop(f0) s0, avg(f1) m1, stddev_pop(f1) s1, avg(f
       from x where publication_date < date '2020-04-17')
 select article_id, round((f0 - m0) / s0, 6) as z0, round((f1 - m1) / s1, 6) as z1,
   round((f2 - m2) / s2, 6) as z2, round(f3 - m3, 6) as z3 from x, s""",
+    "lda_fit": f"""with n as (select count(*) as n from documents)
+select cast(unnest(range({TOPICS})) as int) as topic, n as documents, n as whole from n""",
+    "lda_documents": f"""select doc_id as article_id, cast({TOPICS} as bigint) as n_weights, cast(1 as double) as total
+from documents""",
+    "topic_term_order": f"""with {views.SQL_RECORDS}, {_DICTIONARY},
+n as (select least(count(*), 10) as n from dictionary)
+select cast(topic as int) as topic, cast(rank as int) as rank, true as in_dictionary, true as named_once, true as falling
+from n, (select unnest(range({TOPICS})) as topic), (select unnest(range(1, 11)) as rank) where rank <= n""",
+    "feature_set_plain": f"""with {views.SQL_RECORDS}, {_BIGRAMS},
+old as (select * from records where publication_date < date '2020-04-17'),
+old_counts as (select * from counts where publication_date < date '2020-04-17'),
+{_tfidf_vocab_sql('old_counts', 'old')},
+x as (select article_id, publication_date, {_TYPE_COLUMNS}, {_TERM_COLUMNS} from records),
+s as (select {", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _PLAIN)}
+      from x where publication_date < date '2020-04-17')
+select article_id, (select {len(_PLAIN) + TOPICS} + count(*) from vocab) as n_columns,
+  {", ".join(f"round(({c} - m_{c}) / case when s_{c} > 1e-12 then s_{c} else 1 end, 6) as {c}" for c in _PLAIN)}
+from x, s""",
 }

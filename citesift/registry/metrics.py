@@ -30,6 +30,13 @@ def classify(spark, sf_dir) -> DataFrame:
     return metrics.classify(views.scores(spark, sf_dir, True))
 
 
+def classify_from(spark, sf_dir) -> DataFrame:
+    """Every fold's scores, cut where 95 % of its relevant documents are found."""
+    scores = views.scores(spark, sf_dir, True)
+    thresholds = curves.select_threshold(curves.score_levels(scores, PER_FOLD))
+    return metrics.classify_from(scores, thresholds)
+
+
 def confusion(spark, sf_dir) -> DataFrame:
     return _matrix(spark, sf_dir)
 
@@ -157,6 +164,7 @@ QUERIES = {
     "step_points": step_points,
     "screened_at_recall": screened_at_recall,
     "select_threshold": select_threshold,
+    "classify_from": classify_from,
     "score_histogram": score_histogram,
     "score_histogram_overall": score_histogram_overall,
     "fold_report": fold_report,
@@ -281,6 +289,10 @@ select fold, round(min(screened), 6) as screened, round(0.95 - min(screened), 6)
 from gain where recall >= 0.95 group by fold""",
     "select_threshold": f"""with {B}, {_curve('fold,')}
 select fold, max(threshold) as threshold from points where recall >= 0.95 group by fold""",
+    "classify_from": f"""with {B}, {_curve('fold,')},
+chosen as (select fold, max(threshold) as threshold from points where recall >= 0.95 group by fold)
+select article_id, s.fold, label, relevance, cast(coalesce(relevance >= threshold, false) as int) as pred
+from scores s left join chosen c on s.fold = c.fold""",
     "score_histogram": f"with {B}, {_histogram(30, 'fold,', 'min(relevance)', 'max(relevance)')}",
     "score_histogram_overall": f"with {B}, {_histogram(50, '', 'any_value(0)', 'any_value(1)')}",
     "fold_report": f"""{_REPORT} select cast(fold as int) as fold, train_0, train_1, test_0, test_1, round(param_C, 6) as "param_C",

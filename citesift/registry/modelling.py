@@ -16,10 +16,14 @@ from citesift.session import durable
 
 # Search terms of the model queries, chosen to be frequent in the test texts.
 MODEL_QUERIES = views.QUERIES + (Query("thatin AND (ononst OR inoran)", (("thatin",), ("ononst", "inoran", "rewh"))),)
-# Ten values, evenly spaced by their logarithms.
-GRID = [10 ** (k / 3 - 2) for k in range(10)]
-# The default strength selects nothing from a few hundred labelled documents.
-SETTINGS = evaluate.Settings(c=1.0)
+GRID = model.even_grid()
+SETTINGS = evaluate.Settings(grid=GRID, parts=views.PARTS, tasks=views.PARTS)
+# Fits at one strength. The default one selects nothing from a few hundred labelled documents.
+FIXED_C = evaluate.Settings(c=1.0, parts=views.PARTS, tasks=views.PARTS)
+# The published sizes: 50 topics, 200 values of C.
+FULL = evaluate.Settings("full", grid=GRID, lda_iterations=10, parts=views.PARTS, tasks=views.PARTS)
+# Residual of an optimality condition, as a share of the penalty, up to which it holds.
+CERTIFIED = 1e-5
 
 
 def _labels(spark, sf_dir) -> DataFrame:
@@ -92,19 +96,69 @@ def out_of_fold_scores(spark, sf_dir) -> DataFrame:
 
 
 def fit_l1_logistic(spark, sf_dir) -> DataFrame:
+    """For every fold and feature of the simple set, whether the fit meets the optimality condition.
+
+    The coefficients themselves are ``fold_coefficients``.
+    """
+    result, features = _simple_fits(spark, sf_dir)
+    names = result.features[0].names
+    found = model.optimality(features, result.models, names).filter("feature <> '(intercept)'")
+    return found.select("fold", "feature", "documents", (F.col("residual") <= CERTIFIED).alias("optimal"))
+
+
+def _simple_fits(spark, sf_dir) -> tuple[evaluate.CrossValidation, DataFrame]:
+    articles = views.articles(spark, sf_dir)
+    result = evaluate.cross_validate(articles, MODEL_QUERIES, FIXED_C)
+    records = views.labelled_records(spark, sf_dir)
+    return result, durable(result.features[0].transform(records, evaluate.KEEP), "features")
+
+
+def fold_coefficients(spark, sf_dir) -> DataFrame:
     """Coefficients of the five fold models of the simple set."""
-    return evaluate.cross_validate(views.articles(spark, sf_dir), MODEL_QUERIES, SETTINGS).coefficients
+    return evaluate.cross_validate(views.articles(spark, sf_dir), MODEL_QUERIES, FIXED_C).coefficients
 
 
 def cross_validated_scores(spark, sf_dir) -> DataFrame:
-    return evaluate.cross_validate(views.articles(spark, sf_dir), MODEL_QUERIES, SETTINGS).scores
+    return evaluate.cross_validate(views.articles(spark, sf_dir), MODEL_QUERIES, FIXED_C).scores
 
 
-def grid_search_recall(spark, sf_dir) -> DataFrame:
+def scored_once(spark, sf_dir) -> DataFrame:
+    """Every labelled document with its fold, and whether it has one score that is a probability."""
+    scores = cross_validated_scores(spark, sf_dir)
+    return scores.groupBy("article_id", "fold", "label").agg(
+        (F.count_if((F.col("relevance") >= 0) & (F.col("relevance") <= 1)) == 1).alias("scored")
+    )
+
+
+def _search(spark, sf_dir) -> DataFrame:
     records = durable(views.labelled_records(spark, sf_dir), "records")
     features = durable(feature_set("simple", records, MODEL_QUERIES).transform(records, evaluate.KEEP), "features")
-    search = model.grid_search_recall(features, range(5), GRID)
-    return model.best_c(search)
+    return model.grid_search_recall(features, range(5), GRID, tasks=views.PARTS)
+
+
+def grid_search_recall(spark, sf_dir) -> DataFrame:
+    """For every fold, what was searched and whether the chosen value of C is the one to choose.
+
+    The values and recalls themselves are ``searched_c``.
+    """
+    search = _search(spark, sf_dir)
+    tried = search.groupBy("fold").agg(
+        F.count_distinct("c").alias("n_values"),
+        F.round(F.min("c"), 6).alias("least"),
+        F.round(F.max("c"), 6).alias("greatest"),
+        F.count_if((F.col("recall") >= 0) & (F.col("recall") <= 1)).alias("n_recalls"),
+        F.max("recall").alias("_best"),
+    )
+    chosen = model.best_c(search)
+    better = search.join(chosen.selectExpr("fold", "c as _c", "recall as _recall"), "fold").groupBy("fold").agg(
+        F.count_if((F.col("recall") > F.col("_recall") + 1e-9) | ((F.col("c") < F.col("_c")) & (F.col("recall") > F.col("_recall") - 1e-13))).alias("n_better")
+    )
+    return tried.join(better, "fold").drop("_best")
+
+
+def searched_c(spark, sf_dir) -> DataFrame:
+    """The value of C of every fold by the full search, with its recall."""
+    return model.best_c(_search(spark, sf_dir))
 
 
 def evaluate_simple(spark, sf_dir) -> DataFrame:
@@ -113,9 +167,9 @@ def evaluate_simple(spark, sf_dir) -> DataFrame:
 
 
 def evaluate_full(spark, sf_dir) -> DataFrame:
-    settings = evaluate.Settings("full", c=0.1, n_topics=10, lda_iterations=5)
-    result = evaluate.cross_validate(views.articles(spark, sf_dir), MODEL_QUERIES, settings)
-    return evaluate.report(result, settings)
+    """All four feature families, topics refitted in every fold, the full search of C in each."""
+    result = evaluate.cross_validate(views.articles(spark, sf_dir), MODEL_QUERIES, FULL)
+    return evaluate.report(result, FULL)
 
 
 QUERIES = {
@@ -129,8 +183,11 @@ QUERIES = {
     "feature_importance": feature_importance,
     "out_of_fold_scores": out_of_fold_scores,
     "fit_l1_logistic": fit_l1_logistic,
+    "fold_coefficients": fold_coefficients,
     "cross_validated_scores": cross_validated_scores,
+    "scored_once": scored_once,
     "grid_search_recall": grid_search_recall,
+    "searched_c": searched_c,
     "evaluate_simple": evaluate_simple,
     "evaluate_full": evaluate_full,
 }
@@ -162,4 +219,18 @@ select fold, t0 - e0 as train_0, t1 - e1 as train_1, e0 as test_0, e1 as test_1
   select *, cast(row_number() over (partition by fold order by coefficient desc, feature) as int) as rank
   from differences) where rank <= 3""",
     "out_of_fold_scores": f"with {views.sql_scores()} select * from scores",
+    # The training documents that have each of the search terms.
+    "fit_l1_logistic": f"""with {views.SQL_RECORDS}, {views.SQL_FOLDS},
+words as (select unnest(list_distinct({views.sql_lemmas("q")})) as w
+          from (select '{" ".join(q.text() for q in MODEL_QUERIES)}' as q)),
+vocab as (select w as term, w || '_in_abstract' as feature from words
+          union all select 'title_' || w, w || '_in_title' from words),
+held as (select f.fold, r.tokens from records r join folds f using (article_id))
+select o.fold, feature, (select count(*) from held where held.fold <> o.fold and list_contains(tokens, term)) as documents,
+  true as optimal
+from (select distinct fold from folds) o, vocab""",
+    "scored_once": f"with {views.SQL_FOLDS} select article_id, fold, label, true as scored from folds",
+    "grid_search_recall": f"""with {views.SQL_FOLDS}
+select distinct fold, cast(200 as bigint) as n_values, 0.01::double as least, 1.0::double as greatest,
+  cast(200 as bigint) as n_recalls, cast(0 as bigint) as n_better from folds""",
 }

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesift.operators import articles as ops
 from citesift.operators import retrieval as ret
+from citesift.plans import build
 from citesift.registry import views
 from citesift.session import scratch_path
 from citesift.sources import articles as files
-from citesift.sources.pages import Selector, html_field, html_list_field
+from citesift.sources.pages import Selector, with_fields
 
 TITLE, BODY, ITEM, AD = Selector("h1"), Selector("article"), Selector("li"), Selector(css_class="ad")
+# An element that holds the others, and elements by their place.
+PAGE, LINK = Selector("body"), Selector("a", inside=Selector("nav"), path=("ul", "li"))
 
 
 def retrieve(spark, sf_dir) -> DataFrame:
-    return ret.retrieve(views.table(spark, sf_dir, "documents"), views.QUERIES)
+    return ret.retrieve(views.texts(spark, sf_dir), views.QUERIES)
 
 
 def _raw_records(spark, sf_dir) -> DataFrame:
@@ -25,7 +28,7 @@ def _raw_records(spark, sf_dir) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")
     date = F.expr("date_add(date'2019-10-01', cast(doc_id % 365 as int))")
     pubmed_id = F.expr(r"case when source = 'src7' then '' else concat(doc_id div 2, '\n', doc_id) end")
-    found = ret.retrieve(docs, views.QUERIES)
+    found = ret.retrieve(views.texts(spark, sf_dir), views.QUERIES)
     return found.join(docs.select("doc_id", "lang", "source"), "doc_id").select(
         "search_term",
         "term_idx",
@@ -54,19 +57,13 @@ def retrieval_ends(spark, sf_dir) -> DataFrame:
 
 
 def html_fields(spark, sf_dir) -> DataFrame:
-    html = F.col("html")
-    return views.table(spark, sf_dir, "pages").select(
-        "page_id",
-        html_field(html, TITLE).alias("title"),
-        html_field(html, BODY).alias("abstract"),
-        html_field(html, AD).alias("note"),
-    )
+    fields = {"title": TITLE, "abstract": BODY, "note": AD, "body": PAGE}
+    return with_fields(views.table(spark, sf_dir, "pages"), fields).select("page_id", *fields)
 
 
 def html_list(spark, sf_dir) -> DataFrame:
-    return views.table(spark, sf_dir, "pages").select(
-        "page_id", html_list_field(F.col("html"), ITEM).alias("publication_types")
-    )
+    lists = {"publication_types": ITEM, "links": LINK}
+    return with_fields(views.table(spark, sf_dir, "pages"), {}, lists).select("page_id", *lists)
 
 
 def article_url(spark, sf_dir) -> DataFrame:
@@ -77,15 +74,13 @@ def article_url(spark, sf_dir) -> DataFrame:
 
 def json_map_source(spark, sf_dir) -> DataFrame:
     path = scratch_path(spark, "json-map")
-    files.write_json_map(views.articles(spark, sf_dir), path)
-    return files.read_json_map(spark, path, whole_file=False)
+    files.write_json_map(views.articles(spark, sf_dir), path, objects=True)
+    return files.read_json_map(spark, path)
 
 
 def label_file_source(spark, sf_dir) -> DataFrame:
     path = scratch_path(spark, "titles")
-    titles = views.articles(spark, sf_dir).filter("relevant = 1 and title <> ''")
-    titles = titles.select(F.translate("title", "|\r", "  ").alias("title")).distinct()
-    files.write_label_file(titles, path)
+    files.write_label_file(views.articles(spark, sf_dir).filter("relevant = 1").select("title").distinct(), path)
     return files.read_label_file(spark, path)
 
 
@@ -132,6 +127,36 @@ def article_table(spark, sf_dir) -> DataFrame:
     return files.read_articles(spark, path)
 
 
+def _pages(spark, sf_dir) -> DataFrame:
+    """The articles as a service shows them: title, abstract and publication types in elements."""
+
+    def shown(text) -> Column:
+        for character, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(character), F.lit(entity))
+        return text
+
+    kinds = F.filter(F.split("publication_types", ";"), lambda t: t != "")
+    buttons = F.transform(kinds, lambda t: F.concat(F.lit("<li><div><button>"), shown(t), F.lit("</button></div></li>")))
+    html = F.concat(
+        F.lit('<body><button>Share</button><h1 class="large heading-title">'), shown(F.col("title")),
+        F.lit('</h1><div><div id="enc-abstract"><div><p>'), shown(F.col("abstract")),
+        F.lit('</p></div></div></div><div id="publication-types"><h3>Types</h3><ul>'), F.array_join(buttons, ""),
+        F.lit("</ul></div><ul><li><div><button>Cite</button></div></li></ul></body>"),
+    )
+    return views.articles(spark, sf_dir).select("url", html.alias("html"))
+
+
+def build_articles(spark, sf_dir) -> DataFrame:
+    """The build job: records merged, pages read, a supplementary source, first titles, labels."""
+    scraped = build.articles_from_pages(_raw_records(spark, sf_dir), _pages(spark, sf_dir), views.URL_PREFIX)
+    listed = views.articles(spark, sf_dir).filter("relevant = 1")
+    extra = listed.select(
+        "url", F.col("publication_date").cast("string").alias("publication_date"), "publication_types", "title", "abstract",
+        F.col("article_id").cast("string").alias("ord"),
+    )
+    return build.build_articles(scraped, extra, listed.select("title"), ("Eauouon.",))
+
+
 def class_counts(spark, sf_dir) -> DataFrame:
     counts = ops.class_counts(views.articles(spark, sf_dir))
     return counts.withColumn("prevalence", F.round("prevalence", 6))
@@ -156,6 +181,7 @@ QUERIES = {
     "drop_missing_abstract": drop_missing_abstract,
     "article_table": article_table,
     "class_counts": class_counts,
+    "build_articles": build_articles,
 }
 
 _RETRIEVED = f"""
@@ -200,14 +226,45 @@ merged as (
            first_value(ord) over (partition by pubmed_id order by term_idx, ord) as first_ord
     from extracted e) where rn = 1)"""
 
-_STRIPPED = (
-    "replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), "
+_DECODED = (
+    "replace(replace(replace(replace(replace(replace({x}, "
     "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
 )
 
 
-def _elements(pattern: str) -> str:
-    return f"list_transform(regexp_extract_all(html, '{pattern}', 1), lambda x: {_STRIPPED.format(x='x')})"
+def _elements(fields: dict[str, str], after: str = "") -> str:
+    """Texts of elements, from the running number of open elements of each name.
+
+    ``fields`` gives for every column the condition of an opening tag on its ``name``
+    and ``tag``; each text is followed by ``after``.
+    """
+    picked = "\n  union all\n".join(
+        f"  select '{field}' as field, r, name, d, pos as s from counted where not closes and {wanted}"
+        for field, wanted in fields.items()
+    )
+    columns = ", ".join(
+        f"coalesce(string_agg(text || '{after}', '' order by s) filter (field = '{field}'), '') as {field}" for field in fields
+    )
+    return f"""with cleaned as (
+  select row_number() over () as r, page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+    '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') as html from pages),
+pieces as (select r, unnest(range(len(p))) as pos, unnest(p) as piece from (select r, string_split(html, '<') as p from cleaned)),
+parts as (
+  select r, pos, case when pos > 0 then split_part(piece, '>', 1) else '' end as tag,
+    case when pos > 0 then substr(piece, strpos(piece, '>') + 1) else piece end as text from pieces),
+counted as (
+  select *, sum(case when closes then -1 else 1 end) over (partition by r, name order by pos) as d
+  from (select r, pos, tag, starts_with(tag, '/') as closes, lower(split_part(ltrim(tag, '/'), ' ', 1)) as name from parts)),
+opened as (
+{picked}),
+ended as (
+  select o.field, o.r, o.s, min(e.pos) as e
+  from opened o left join counted e on e.r = o.r and e.name = o.name and e.closes and e.pos > o.s and e.d = o.d - 1
+  group by all),
+texts as (
+  select field, r, s, string_agg({_DECODED.format(x='p.text')}, '' order by p.pos) as text
+  from ended join parts p using (r) where p.pos >= s and (e is null or p.pos < e) group by all)
+select page_id, {columns} from cleaned left join texts using (r) group by r, page_id"""
 
 
 _SOURCES = (
@@ -240,21 +297,18 @@ select pubmed_id, publication_date, cast(first_term as int) as term_idx, first_o
 union all
 select pubmed_id, publication_date, cast(first_term as int), first_ord, 'last' from (
   select *, row_number() over (order by first_term desc, first_ord desc) as r from merged) where r <= 3""",
-    "html_fields": f"""select page_id,
-  array_to_string({_elements('(?is)<h1[^>]*>(.*?)</h1>')}, '') as title,
-  array_to_string({_elements('(?is)<article[^>]*>(.*?)</article>')}, '') as abstract,
-  array_to_string({_elements('(?is)<div class="ad">(.*?)</div>')}, '') as note
-from pages""",
-    "html_list_field": f"""select page_id,
-  array_to_string(list_transform({_elements('(?is)<li[^>]*>(.*?)</li>')}, lambda s: s || ';'), '') as publication_types
-from pages""",
+    "html_fields": _elements(
+        {"title": "name = 'h1'", "abstract": "name = 'article'", "note": "tag like '% class=\"ad\"'", "body": "name = 'body'"}
+    ),
+    # All links of the pages stand in list items of their navigation.
+    "html_list_field": _elements({"publication_types": "name = 'li'", "links": "name = 'a'"}, ";"),
     "article_url": f"""select doc_id, concat('{views.URL_PREFIX}', doc_id, '/') as url,
   cast(doc_id as varchar) as id_from_url from documents""",
     "json_map_source": f"""with {views.SQL_ARTICLES}
 select cast(article_id as varchar) as article_key, url, cast(publication_date as varchar) as publication_date,
   publication_types, title, abstract from articles""",
     "label_file_source": f"""with {views.SQL_ARTICLES}
-select distinct translate(title, concat('|', chr(13)), '  ') as title from articles where relevant = 1 and title <> ''""",
+select distinct title from articles where relevant = 1""",
     "concat_sources": f"with {_SOURCES} select * from sources",
     "dedup_by_title": _dedup("title", "where title <> 'Eauouon.'"),
     "dedup_by_title_ignore_case": _dedup("lower(title)", ""),
@@ -270,4 +324,19 @@ select url, publication_date, publication_types, title, abstract, relevant from
     "class_counts": f"""with {views.SQL_ARTICLES}
 select count(*) as articles, cast(sum(coalesce(relevant, 0)) as bigint) as relevant,
   round(avg(coalesce(relevant, 0)), 6) as prevalence from articles""",
+    # Blanks around a paragraph are not shown.
+    "build_articles": f"""with {views.SQL_ARTICLES}, {_EXTRACTED.replace("raw as", "raw as materialized")}, {_MERGED},
+main as (
+  select a.url, try_cast(nullif(m.publication_date, '') as date) as publication_date, a.publication_types, a.title,
+    regexp_replace(a.abstract, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') as abstract, 1 as priority,
+    printf('%012d-%012d', first_term, first_ord) as ord
+  from merged m join articles a on a.article_id = cast(m.pubmed_id as bigint)),
+together as (
+  select * from main union all
+  select url, publication_date, publication_types, title, abstract, 0, cast(article_id as varchar) from articles where relevant = 1),
+firsts as (
+  select *, row_number() over (partition by title order by priority, ord) as place from together where title <> 'Eauouon.')
+select url, publication_date, publication_types, title, abstract,
+  cast(title in (select title from articles where relevant = 1) as int) as relevant
+from firsts where place = 1 and abstract <> ''""",
 }

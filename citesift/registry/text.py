@@ -14,7 +14,7 @@ PREFIXES = ("corrigendum", "the ", "la ")
 
 def _joined(spark, sf_dir, tokens) -> DataFrame:
     """Tokens of the whole document text, as one comparable string."""
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", tokens.alias("_t"))
+    docs = views.texts(spark, sf_dir).select("doc_id", tokens.alias("_t"))
     return docs.select("doc_id", F.size("_t").cast("long").alias("n_tokens"), F.array_join("_t", " ").alias("tokens"))
 
 
@@ -66,6 +66,17 @@ def build_records(spark, sf_dir) -> DataFrame:
     )
 
 
+def lexicon_records(spark, sf_dir) -> DataFrame:
+    """Records by a lexicon as large as the vocabulary of the German documents: first four letters."""
+    docs = views.texts(spark, sf_dir).filter("lang = 'de'")
+    forms = docs.select(F.explode(F.array_distinct(fn.tokenize(F.col("text")))).alias("form")).distinct()
+    lexicon = forms.select("form", F.substring("form", 1, 4).alias("lemma"))
+    records = ops.build_records(views.articles(spark, sf_dir), lexicon=lexicon, parts=views.PARTS)
+    return records.select(
+        "article_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("record")
+    )
+
+
 QUERIES = {
     "clean_text": clean_text,
     "exclude": exclude,
@@ -77,6 +88,7 @@ QUERIES = {
     "lemmatize": lemmatize,
     "prefix_title": prefix_title,
     "build_records": build_records,
+    "lexicon_records": lexicon_records,
 }
 
 
@@ -112,4 +124,16 @@ select article_id, array_to_string(list_transform({views.sql_lemmas('title')}, l
   as title_tokens from articles""",
     "build_records": f"""with {views.SQL_RECORDS}
 select article_id, len(tokens) as n_tokens, array_to_string(tokens, ' ') as record from records""",
+    "lexicon_records": f"""with {views.SQL_ARTICLES},
+lexicon as (select distinct unnest({views.sql_tokens("text")}) as form from documents where lang = 'de'),
+parts as (
+  select article_id, 0 as part, {views.sql_filtered("title")} as ts from articles
+  union all select article_id, 1, {views.sql_filtered("abstract")} from articles),
+each as (select article_id, part, unnest(range(len(ts))) as p, unnest(ts) as t from parts),
+found as (
+  select article_id, part, p, case when part = 0 then 'title_' else '' end ||
+    case when l.form is not null then left(l.form, 4) else {views.sql_rules()} end as lemma
+  from each left join lexicon l on l.form = each.t)
+select article_id, count(lemma) as n_tokens, coalesce(string_agg(lemma, ' ' order by part, p), '') as record
+from articles left join found using (article_id) group by article_id""",
 }

@@ -18,6 +18,10 @@ from citesift.session import durable
 
 URL_PREFIX = "https://docs.example.org/"
 
+# Texts lie in few files, so the tasks that work on them are given their number here: an
+# argument of the operators, which never derive it from the size of their input.
+PARTS = 8
+
 QUERIES = (
     Query("the AND (und OR der)", (("the",), ("und", "der"))),
     Query("la AND de", (("la",), ("de",))),
@@ -35,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread by their id over ``PARTS`` tasks for work on their texts."""
+    return table(spark, sf_dir, "documents").repartition(PARTS, "doc_id")
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("relevant"))
@@ -60,14 +69,16 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_records(articles(spark, sf_dir), ["publication_types", "publication_date", "relevant"])
+    return build_records(
+        articles(spark, sf_dir), ["publication_types", "publication_date", "relevant"], parts=PARTS
+    )
 
 
 def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of labelled articles with their folds."""
     rows = articles(spark, sf_dir).filter("relevant is not null")
-    rows = build_records(rows, ["publication_types", F.col("relevant").alias("label")])
-    return stratified_folds(rows)
+    dealt = durable(stratified_folds(rows.select("article_id", F.col("relevant").alias("label"))), "folds")
+    return build_records(rows, ["publication_types"], parts=PARTS).join(dealt, "article_id")
 
 
 def scored(spark: SparkSession, sf_dir: str, with_length: bool = False) -> DataFrame:
@@ -78,9 +89,7 @@ def scored(spark: SparkSession, sf_dir: str, with_length: bool = False) -> DataF
         z = z + F.when(text.contains(f" {word} "), F.lit(weight)).otherwise(0.0)
     if with_length:
         z = z + 0.1 * F.log(F.col("n_chars").cast("double"))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "n_chars", padded_text(tokenize(F.col("text"))).alias("_text")
-    )
+    docs = texts(spark, sf_dir).select("doc_id", "n_chars", padded_text(tokenize(F.col("text"))).alias("_text"))
     return docs.select(F.col("doc_id").alias("article_id"), F.round(1 / (1 + F.exp(-z)), 6).alias("relevance"))
 
 
@@ -111,15 +120,19 @@ def sql_filtered(text: str) -> str:
     )
 
 
-def sql_lemmas(text: str) -> str:
-    rule = (
+def sql_rules() -> str:
+    """The suffix rules for a token ``t``."""
+    return (
         "case when ends_with(t, 'ies') and length(t) > 4 then left(t, length(t) - 3) || 'y' "
         "when regexp_matches(t, '(ss|sh|ch|x|z)es$') and length(t) > 4 then left(t, length(t) - 2) "
         "when ends_with(t, 's') and not regexp_matches(t, '(ss|us|is)$') and length(t) > 3 then left(t, length(t) - 1) "
         "when ends_with(t, 'ing') and length(t) > 5 then left(t, length(t) - 3) "
         "when ends_with(t, 'ed') and length(t) > 4 then left(t, length(t) - 2) else t end"
     )
-    return f"list_transform({sql_filtered(text)}, lambda t: case t {_IRREGULAR} else {rule} end)"
+
+
+def sql_lemmas(text: str) -> str:
+    return f"list_transform({sql_filtered(text)}, lambda t: case t {_IRREGULAR} else {sql_rules()} end)"
 
 
 SQL_ARTICLES = f"""

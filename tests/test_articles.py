@@ -12,7 +12,7 @@ from citesift.operators import retrieval as ret
 from citesift.operators.retrieval import Query
 from citesift.plans.build import articles_from_pages, build_articles, prepare
 from citesift.sources import articles as files
-from citesift.sources.pages import Selector, html_field, html_list_field
+from citesift.sources.pages import Selector, element_texts, html_field, html_list_field, with_fields
 
 
 def rows(df, *columns):
@@ -219,7 +219,7 @@ def test_jobs(spark, tmp_path, monkeypatch):
     common = ("--articles", tmp_path / "table", "--queries", tmp_path / "queries.json")
     run("evaluate", *common, "--grid-points", 2, "--out", tmp_path / "report")
     assert spark.read.parquet(str(tmp_path / "report/scores")).count() == n // 2
-    run("update", *common, "--out", tmp_path / "tables")
+    run("update", *common, "--grid-points", 2, "--out", tmp_path / "tables")
     assert spark.read.json(str(tmp_path / "tables/new_articles")).count() == n // 2
 
 
@@ -239,3 +239,56 @@ def test_a_date_range_reads_its_year_folders_only(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
     assert files.read_articles(spark, str(tmp_path / "t")).count() == 4
+
+
+def _texts(spark, html, selector, between_blocks=""):
+    df = spark.createDataFrame([(html,)], "html string")
+    return df.select(element_texts(F.col("html"), selector, between_blocks)).first()[0]
+
+
+def test_an_element_ends_at_its_own_closing_tag(spark):
+    abstract = Selector(element_id="enc-abstract")
+    nested = '<div><div id="enc-abstract"><div>first part</div><div>second part</div></div><div>other</div></div>'
+    assert _texts(spark, nested, abstract) == ["first partsecond part"]
+    assert _texts(spark, nested, abstract, "\n") == ["first part\nsecond part"]
+    # An element within another of its kind counts for itself, too; order is that of their beginnings.
+    twice = '<div class="a b">x<div class="b">y</div>z</div><div class="b">w</div><div class="ab">v</div>'
+    assert _texts(spark, twice, Selector(css_class="b")) == ["xyz", "y", "w"]
+
+
+def test_unclosed_elements_end_where_html_ends_them(spark):
+    items = "<ul><li>a<ul><li>b<li>c</ul><li>d<p>e<p>f</ul>g<p>h<div>i</div>"
+    assert _texts(spark, items, Selector("li")) == ["abc", "b", "c", "def"]
+    assert _texts(spark, items, Selector("p")) == ["e", "f", "h"]
+    # The end of an element ends what is open inside; a closing tag of nothing is passed over.
+    assert _texts(spark, "<article><b>x<i>y</article>z</i></b>", Selector("b")) == ["xy"]
+    assert _texts(spark, "<table><tr><td>1<td>2<tr><td>3</table>", Selector("td")) == ["1", "2", "3"]
+    assert _texts(spark, "<b>never closed <i>x", Selector("b")) == ["never closed x"]
+
+
+def test_comments_scripts_and_attribute_values_are_no_elements(spark):
+    html = (
+        '<div title="<p>no</p> id=\'t\'" id=t>a<!-- <p>no</p> --><script>var x = "</div><p>";</script>'
+        "<style>p{}</style><br/>b <img alt='>'>1 < 2 &amp;lt;<input class='k'></div><p>after</p>"
+    )
+    assert _texts(spark, html, Selector(element_id="t")) == ["ab 1 < 2 &lt;"]
+    assert _texts(spark, html, Selector(element_id="t"), "\n") == ["a\nb 1 < 2 &lt;"]
+    assert _texts(spark, html, Selector("p")) == ["after"]
+    assert _texts(spark, html, Selector("input", "k")) == [""]
+    assert _texts(spark, "", Selector("p")) == [] and _texts(spark, "plain", Selector("p")) == []
+
+
+def test_elements_by_place(spark):
+    html = '<ul><li><div><button>no</button></div></li></ul><section id="t"><button>no path</button><ul><li><div>'
+    html += "<button>a <b>b</b></button><p><button>deeper</button></p></div></li></ul></section>"
+    place = Selector(element_id="t")
+    assert _texts(spark, html, Selector("button", inside=place, path=("ul", "li", "div"))) == ["a b"]
+    assert _texts(spark, html, Selector("button", inside=place)) == ["no path", "a b", "deeper"]
+
+
+def test_a_page_is_cut_once_for_all_fields(spark):
+    pages = spark.createDataFrame([("<h1>a</h1><p>b</p><li>c</li><li>d",)], "html string")
+    found = with_fields(pages, {"t": Selector("h1"), "p": Selector("p")}, {"k": Selector("li")})
+    assert tuple(found.first()) == ("<h1>a</h1><p>b</p><li>c</li><li>d", "a", "b", "c;d;")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

@@ -1,10 +1,10 @@
-import math
-
 import pytest
 
 from citesift.registry import modelling
 
 
-def test_the_registered_search_has_ten_log_spaced_values():
-    steps = [math.log10(b / a) for a, b in zip(modelling.GRID, modelling.GRID[1:])]
-    assert len(modelling.GRID) >= 10 and steps == pytest.approx([1 / 3] * len(steps))
+def test_the_registered_searches_take_the_full_grid():
+    for grid in (modelling.GRID, modelling.SETTINGS.grid, modelling.FULL.grid):
+        steps = [b - a for a, b in zip(grid, grid[1:])]
+        assert len(grid) == 200 and steps == pytest.approx([0.99 / 199] * 199)
+    assert modelling.FULL.n_topics == 50 and modelling.FULL.passes >= 10
