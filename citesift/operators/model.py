@@ -19,6 +19,8 @@ DEFAULT_C = 0.03
 # The even grid of the inner search.
 GRID_START, GRID_STOP, GRID_POINTS = 0.01, 1.0, 200
 SELECTION_THRESHOLD = 1e-5
+# Residual up to which the fits of a search are worked out; those that are kept, to ``path.TOLERANCE``.
+SEARCHED = 1e-3
 
 
 def even_grid(points: int = GRID_POINTS) -> list[float]:
@@ -135,7 +137,7 @@ def grid_search_recall(
     )
     data = path.blocks(durable(chosen, "patterns"), inner_k, tasks)
     try:
-        hits = path.held_out_hits(data, path.regularisation_path(data, grid))
+        hits = path.held_out_hits(data, path.regularisation_path(data, grid, tolerance=SEARCHED))
     finally:
         data.rows.unpersist()
     # One row per fold and value of C.
