@@ -16,6 +16,7 @@ special care, and all other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -67,6 +68,7 @@ class Vocabulary:
         self._specials = regex.compile("|".join(map(regex.escape, strings))) if strings else None
         self._cache: dict[str, tuple[int, ...]] = {}
         self._numbers = list(range(max(self.bytes) + 1))
+        self.names = list(map(str, self._numbers))
 
     @classmethod
     def read(cls, path: str) -> tuple[str, Vocabulary]:
@@ -161,6 +163,16 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids of a text, SHA-256 of the ids and of the text decoded from them."""
+        ids = self.encode(text)
+        listed = ",".join(map(self.names.__getitem__, ids)).encode()
+        plain = b"".join(map(self.bytes.__getitem__, ids))
+        # Only bytes that are no text change in decoding.
+        decoded = plain if plain.isascii() else plain.decode("utf-8", "replace").encode()
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
 _READ: dict[int, Vocabulary] = {}
 
 
@@ -209,6 +221,30 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.mapInArrow(run, _with_column(df, out, T.StringType()))
 
 
+def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: every text encoded and decoded in one pass.
+
+    The digests are those of the ids joined by commas and of the decoded text; ids and texts
+    themselves, which ``encode`` and ``decode`` give, need not leave the worker for them.
+    """
+    spec = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path)[0])
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(spec.value)
+        for batch in batches:
+            found = [vocabulary.digests(x.as_py() or "") for x in batch.column(1)]
+            columns = list(zip(*found)) if found else [(), (), ()]
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names
+            )
+
+    kind = T.StructField("doc_id", df.schema[doc_id].dataType)
+    rest = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInArrow(run, T.StructType([kind, *rest]))
+
+
 def _lists(rows: Iterator[pa.Array], n: int) -> pa.Array:
     chunks = list(rows)
     offsets = [0]

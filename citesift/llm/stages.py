@@ -51,16 +51,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document."""
-    path = tokenizer_path()
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document; a null text counts as empty."""
+    return bpe.round_trip(docs, tokenizer_path())
 
 
 STAGES = [

@@ -8,8 +8,11 @@ vector, with the word it stands for. Each different word of a text counts once.
 
 The classifier learns from a bounded sample of labelled rows: at most
 ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean ones, those with the smallest digest
-of their id. Their bags are counted in tasks; a bag has at most ``BUCKETS``
-entries however long its text. Every whole text is scored, where only one number
+of their id, and of these as many as have ``MAX_ENTRIES`` bag entries together, of
+six bytes each. That is about 300 MB however long the texts are; texts of the usual
+length stay far below, with 6,000 rows and some 90 MB. Of an id with several texts the
+one with the smallest digest is taken. Bags are counted in tasks, and one task trains
+on those of the sample; one number per bucket and the bias reach the driver. Every whole text is scored, where only one number
 per bucket is needed, because averaging and softmax are linear in the embeddings.
 
 Null and empty texts get the score of an empty bag. Labels that are null are not
@@ -26,15 +29,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citesift.session import durable
+
 # A bucket's number fits in 16 bits.
 BUCKETS = 1 << 16
 WIDTH = 12
 SHORTEST, LONGEST = 3, 6
 MAX_TOXIC, MAX_CLEAN = 1500, 4500
+MAX_ENTRIES = 50_000_000
 # Updates, whatever the size of the sample.
 STEPS = 940
 BATCH = 64
@@ -177,26 +183,43 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))
     ]
     # At most MAX_TOXIC + MAX_CLEAN ids.
-    chosen = F.broadcast(sample[0].unionAll(sample[1]).select("doc_id", "toxic"))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+    chosen = F.broadcast(sample[0].unionAll(sample[1]).select("doc_id", "toxic", "order"))
+    digest = F.struct(F.xxhash64("text").alias("h"), F.col("text"))
+    texts = (
+        docs.select("doc_id", "text")
+        .join(chosen, "doc_id")
+        .groupBy("doc_id", "toxic", "order")
+        .agg(F.min(digest)["text"].alias("text"))
+    )
+    bags = durable(_bags(texts.select("doc_id", "toxic", "order", "text")), "bags")
+    # A window over the sample's ids and sizes alone.
+    before = Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = bags.select("doc_id", "order", F.octet_length("buckets").alias("size"))
+    small = sizes.withColumn("sum", F.sum("size").over(before)).filter(F.col("sum") <= 2 * MAX_ENTRIES).select("doc_id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, schema=_BAGS).sort_by("doc_id")
+        columns = [[np.frombuffer(x.as_buffer(), kind) for x in table.column(name)] for name, kind in (("buckets", np.uint16), ("shares", np.float32))]
+        towards, bias = fit(list(zip(*columns)), np.array(table.column("toxic").to_pylist(), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([towards.tobytes()], pa.binary()), pa.array([bias])], names=["towards", "bias"])
+
+    sampled = bags.join(F.broadcast(small), "doc_id").select(*_BAGS.names).repartition(1)
+    # One row: a number for each bucket.
+    row = sampled.mapInArrow(run, "towards binary, bias double").first()
+    return np.frombuffer(row["towards"], np.float32), row["bias"]
+
+
+_BAGS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("order", pa.int64()), ("buckets", pa.binary()), ("shares", pa.binary())])
+
+
+def _bags(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bag(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([b.tobytes() for b, _ in found], pa.binary()),
-                    pa.array([s.tobytes() for _, s in found], pa.binary()),
-                ],
-                names=["doc_id", "toxic", "buckets", "shares"],
-            )
-
-    rows = texts.mapInArrow(run, "doc_id long, toxic int, buckets binary, shares binary").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    bags = [(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)) for r in rows]
-    return fit(bags, np.array([r["toxic"] for r in rows], np.int64))
+            found = [bag(x.as_py()) for x in batch.column(3)]
+            bodies = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *bodies], names=_BAGS.names)
+
+    return texts.mapInArrow(run, "doc_id long, toxic int, order long, buckets binary, shares binary")
 
 
 class _WordScores(dict):
