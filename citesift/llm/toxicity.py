@@ -206,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     sampled = bags.join(F.broadcast(small), "doc_id").select(*_BAGS.names).repartition(1)
     # One row: a number for each bucket.
     row = sampled.mapInArrow(run, "towards binary, bias double").first()
-    return np.frombuffer(row["towards"], np.float32), row["bias"]
+    # None if there is nothing to learn from.
+    return (np.frombuffer(row["towards"], np.float32), row["bias"]) if row else fit([], np.zeros(0, np.int64))
 
 
 _BAGS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("order", pa.int64()), ("buckets", pa.binary()), ("shares", pa.binary())])
