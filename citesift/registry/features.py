@@ -52,7 +52,7 @@ def feature_names(spark, sf_dir) -> DataFrame:
 
 def publication_type_features(spark, sf_dir) -> DataFrame:
     family = feat.PublicationTypes()
-    return _wide(family.transform(views.articles(spark, sf_dir)), family.column, family.names)
+    return _wide(family.transform(views.articles(spark, sf_dir, False)), family.column, family.names)
 
 
 def bigram_counts(spark, sf_dir) -> DataFrame:
@@ -160,13 +160,13 @@ def model_coherence(spark, sf_dir) -> DataFrame:
 
 def combine(spark, sf_dir) -> DataFrame:
     """Publication types, search terms and the topic-free length, made apart and joined."""
-    documents = views.articles(spark, sf_dir)
+    documents = views.articles(spark, sf_dir, False)
     long_ones = documents.filter("n_chars >= 1000").select("article_id", F.lit(1.0).alias("long"))
     return feat.combine([publication_type_features(spark, sf_dir), search_term_features(spark, sf_dir), long_ones])
 
 
 def standardize(spark, sf_dir) -> DataFrame:
-    rows = views.articles(spark, sf_dir).select(
+    rows = views.articles(spark, sf_dir, False).select(
         "article_id",
         "publication_date",
         F.array(

@@ -74,7 +74,7 @@ def article_url(spark, sf_dir) -> DataFrame:
 
 def json_map_source(spark, sf_dir) -> DataFrame:
     path = scratch_path(spark, "json-map")
-    files.write_json_map(views.articles(spark, sf_dir), path, objects=True)
+    files.write_json_map(views.articles(spark, sf_dir, False), path, objects=True)
     return files.read_json_map(spark, path)
 
 
@@ -107,7 +107,7 @@ def fix_dates(spark, sf_dir) -> DataFrame:
     raw = F.when(F.col("lang") == "es", F.year(day).cast("string")).otherwise(
         F.concat_ws("-", F.year(day), F.month(day), F.dayofmonth(day))
     )
-    rows = views.articles(spark, sf_dir).select("article_id", "lang", day)
+    rows = views.articles(spark, sf_dir, False).select("article_id", "lang", day)
     return ops.fix_dates(rows.select("article_id", raw.alias("publication_date")))
 
 
@@ -118,7 +118,7 @@ def label_by_title(spark, sf_dir) -> DataFrame:
 
 
 def drop_missing_abstract(spark, sf_dir) -> DataFrame:
-    return ops.drop_missing_abstract(views.articles(spark, sf_dir)).select("article_id", "abstract")
+    return ops.drop_missing_abstract(views.articles(spark, sf_dir, False)).select("article_id", "abstract")
 
 
 def article_table(spark, sf_dir) -> DataFrame:

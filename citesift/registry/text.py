@@ -19,19 +19,19 @@ def _joined(spark, sf_dir, tokens) -> DataFrame:
 
 
 def clean_text(spark, sf_dir) -> DataFrame:
-    return ops.clean_text(views.articles(spark, sf_dir)).select("article_id", "title", "abstract")
+    return ops.clean_text(views.articles(spark, sf_dir, False)).select("article_id", "title", "abstract")
 
 
 def exclude(spark, sf_dir) -> DataFrame:
-    return ops.exclude(views.articles(spark, sf_dir), PREFIXES).select("article_id", "title")
+    return ops.exclude(views.articles(spark, sf_dir, False), PREFIXES).select("article_id", "title")
 
 
 def check_unique(spark, sf_dir) -> DataFrame:
-    return ops.check_unique(views.articles(spark, sf_dir), ("url", "title", "abstract"))
+    return ops.check_unique(views.articles(spark, sf_dir, False), ("url", "title", "abstract"))
 
 
 def temporal_split(spark, sf_dir) -> DataFrame:
-    old, new = ops.temporal_split(views.articles(spark, sf_dir))
+    old, new = ops.temporal_split(views.articles(spark, sf_dir, False))
     return (
         old.select("article_id", "publication_date", F.lit("old").alias("part"))
         .unionByName(new.select("article_id", "publication_date", F.lit("new").alias("part")))
@@ -39,7 +39,7 @@ def temporal_split(spark, sf_dir) -> DataFrame:
 
 
 def preview_pairs(spark, sf_dir) -> DataFrame:
-    return ops.preview_pairs(views.articles(spark, sf_dir), views.records(spark, sf_dir))
+    return ops.preview_pairs(views.articles(spark, sf_dir, False), views.records(spark, sf_dir))
 
 
 def tokenize(spark, sf_dir) -> DataFrame:
@@ -55,7 +55,7 @@ def lemmatize(spark, sf_dir) -> DataFrame:
 
 
 def prefix_title(spark, sf_dir) -> DataFrame:
-    rows = views.articles(spark, sf_dir)
+    rows = views.articles(spark, sf_dir, False)
     tokens = fn.prefix_title(fn.lemmas(F.col("title")))
     return rows.select("article_id", F.array_join(tokens, " ").alias("title_tokens"))
 
@@ -71,7 +71,7 @@ def lexicon_records(spark, sf_dir) -> DataFrame:
     docs = views.texts(spark, sf_dir).filter("lang = 'de'")
     forms = docs.select(F.explode(F.array_distinct(fn.tokenize(F.col("text")))).alias("form")).distinct()
     lexicon = forms.select("form", F.substring("form", 1, 4).alias("lemma"))
-    records = ops.build_records(views.articles(spark, sf_dir), lexicon=lexicon, parts=views.PARTS)
+    records = ops.build_records(views.articles(spark, sf_dir, False), lexicon=lexicon, parts=views.PARTS)
     return records.select(
         "article_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("record")
     )

@@ -44,9 +44,9 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").repartition(PARTS, "doc_id")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """The articles, with ``relevant`` only if ``labelled``: its join is not free."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("relevant"))
     m = F.col("doc_id") % 20
     types = (
         F.when(m < 3, "Case Reports;Journal Article;")
@@ -54,14 +54,17 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m < 12, "Systematic Review;")
         .otherwise("Journal Article;")
     )
-    return docs.join(labels, "doc_id", "left").select(
+    if labelled:
+        labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("relevant"))
+        docs = docs.join(labels, "doc_id", "left")
+    return docs.select(
         F.col("doc_id").alias("article_id"),
         F.concat(F.lit(URL_PREFIX), F.col("doc_id").cast("string"), F.lit("/")).alias("url"),
         F.expr("date_add(date'2019-10-01', cast(doc_id % 365 as int))").alias("publication_date"),
         types.alias("publication_types"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.expr(r"substr(text, instr(concat(text, '\n'), '\n') + 1)").alias("abstract"),
-        "relevant",
+        *(["relevant"] if labelled else []),
         "n_chars",
         "lang",
         "source",
@@ -69,9 +72,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_records(
-        articles(spark, sf_dir), ["publication_types", "publication_date", "relevant"], parts=PARTS
-    )
+    return build_records(articles(spark, sf_dir, False), ["publication_types", "publication_date"], parts=PARTS)
 
 
 def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:

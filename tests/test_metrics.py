@@ -131,6 +131,7 @@ def test_histogram_edges(spark):
 
 def test_mean_row_of_published_folds(spark):
     """Published figures, rounded to two places per fold; the row is text."""
+    # The published report, fold by fold.
     rows = [
         (1, 2150, 122, 538, 31, 0.01, 17, 0.94, 0.13, 0.54, 0.53),
         (2, 2150, 123, 538, 30, 0.01, 19, 0.90, 0.16, 0.33, 0.61),
