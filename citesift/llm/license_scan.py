@@ -3,9 +3,10 @@
 Each text's words are rolled into k-grams, hashed and joined to the positions of
 the same grams in the templates. A meeting votes for its diagonal, the offset
 between document and template. Neighbouring diagonals (words added or left out)
-are merged per document and template, and the span they cover is verified: the
-share of distinct template grams in it, against the longer of template and span,
-must reach ``MIN_COVER``. Where spans of several templates lie on the same words, the
+are merged per document and template; of what they reach, the window of the
+template's length at the strongest diagonal is verified: the share of distinct
+template grams in it, against the longer of template and window, must reach
+``MIN_COVER``, so echoes of its phrases elsewhere don't hide a notice. Where spans of several templates lie on the same words, the
 one with the best cover is taken: one notice has one licence.
 
 The templates are a fixed list of short notices, so their grams are broadcast.
@@ -52,8 +53,24 @@ TEMPLATES = (
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
      " public license as published by the free software foundation"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser"
+     " general public license as published by the free software foundation"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero"
+     " general public license as published by the free software foundation"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was"
+     " not distributed with this file you can obtain one at"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify"
+     " publish use compile sell or distribute this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held"
+     " liable for any damages arising from the use of this software"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international"
+     " license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0"
+     " international license"),
 )
 
 
@@ -105,24 +122,41 @@ def meetings(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame
 def spans(met: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """``_id, _tk, no, label, first, last, found, cover`` of the verified template spans."""
     votes = met.filter(~F.col("is_phrase")).withColumn("diagonal", F.col("pos") - F.col("at"))
-    diagonals = votes.groupBy(*ROW_KEY, "no", "label", "size", "diagonal").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("ats")
-    )
+    diagonals = votes.groupBy(*ROW_KEY, "no", "label", "size", "diagonal").agg(F.collect_set("at").alias("ats"))
     # Within one document and template, so a window holds no more than a document's words.
     along = Window.partitionBy(*ROW_KEY, "no").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     starts = diagonals.withColumn("new", F.when(gap <= NEIGHBOURS, 0).otherwise(1))
+    votes_of = F.struct(F.size("ats").alias("n"), (-F.col("diagonal")).alias("earlier"))
     merged = (
         starts.withColumn("span", F.sum("new").over(along))
         .groupBy(*ROW_KEY, "no", "label", "size", "span")
-        .agg(
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("found"),
+        .agg(F.max_by("diagonal", votes_of).alias("best"), F.collect_list(F.struct("diagonal", "ats")).alias("voters"))
+    )
+    # Echoes of a template's phrases can chain many diagonals: what counts is the window of
+    # the template's length where the strongest one lies, not all that the chain reaches.
+    low, high = F.col("best") - NEIGHBOURS, F.col("best") + F.col("size") - 1 + NEIGHBOURS
+    met_inside = F.flatten(
+        F.transform(
+            "voters",
+            lambda v: F.filter(
+                F.transform(v["ats"], lambda at: F.struct((v["diagonal"] + at).alias("pos"), at.alias("at"))),
+                lambda m: (m["pos"] >= low) & (m["pos"] <= high),
+            ),
         )
     )
+    windows = merged.withColumn("inside", met_inside).select(
+        *ROW_KEY,
+        "no",
+        "label",
+        "size",
+        "span",
+        F.array_min(F.transform("inside", lambda m: m["pos"])).alias("first"),
+        F.array_max(F.transform("inside", lambda m: m["pos"])).alias("last"),
+        F.size(F.array_distinct(F.transform("inside", lambda m: m["at"]))).alias("found"),
+    )
     length = F.greatest("size", F.col("last") - F.col("first") + 1)
-    return merged.withColumn("cover", F.col("found") / length).filter(F.col("cover") >= min_cover)
+    return windows.withColumn("cover", F.col("found") / length).filter(F.col("cover") >= min_cover)
 
 
 def best_spans(found: DataFrame) -> DataFrame:
