@@ -24,6 +24,7 @@ from citesift.sources.models import load_model, save_model
 class Settings:
     """``grid`` = None fits ``c`` without a search; ``model.even_grid()`` is the full one.
 
+    ``coherence`` is that of the topic models of every fold, which the report does not need.
     ``parts`` is the number of parts texts, tokens and features are worked on in, for
     input that lies in few files; ``tasks`` limits the parts training rows are read in.
     """
@@ -41,6 +42,7 @@ class Settings:
     no_below: int = 20
     keep_n: int = 100_000
     topic_concentration: float | None = None
+    coherence: bool = True
     threads: int = 4
     parts: int | None = None
     tasks: int | None = None
@@ -199,7 +201,8 @@ def _full(
         topics = next(f for f in fitted.families if isinstance(f, Topics))
         # A few words for each topic.
         terms = durable(topics.terms(records.sparkSession, TOP_WORDS), "topic-terms")
-        return k, _finished(Fold(fitted, best, scored, terms, topic_coherence(train, terms)), k, store)
+        coherence = topic_coherence(train, terms) if s.coherence else None
+        return k, _finished(Fold(fitted, best, scored, terms, coherence), k, store)
 
     return dict(model.run_all(numbers, one, s.threads))
 
