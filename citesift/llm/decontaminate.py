@@ -10,9 +10,11 @@ verifies every window that holds the position at once; the bounds of both texts
 are respected. An item of fewer words, but not none, is one window.
 
 The prefix table is as large as the benchmark, so it is broadcast only if its
-rows and words stay below ``BROADCAST_WORDS``; beyond that Spark joins by shuffle,
-and only the surroundings of a position travel with it: each word of a document is
-shuffled as ``2 * WINDOW - 1`` words, however long the document is.
+rows and words stay below ``BROADCAST_WORDS``; beyond that Spark joins by shuffle.
+Document words that are no prefix token stay behind before that: the tokens' hashes,
+cut to ``SLOTS`` values, are broadcast, and a word whose value is not among them can
+meet nothing. The others travel with their surroundings only, ``2 * WINDOW - 1``
+words each, however long the document is.
 
 Null and empty texts have no words and are not hit. Items without words are
 ignored, repeated items count once per id, and a null item_id hits but is no
@@ -31,6 +33,8 @@ from citesift.session import durable
 WINDOW = 10
 # Words of the prefix table, surroundings included, up to which it is broadcast.
 BROADCAST_WORDS = 2_000_000
+# Hash values that tell prefix tokens from other words ahead of the shuffle; bounds their broadcast.
+SLOTS = 1 << 21
 
 
 def _surroundings(array: str, at: str, window: int) -> Column:
@@ -110,8 +114,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 def _hits_by_shuffle(rows: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
     """``hits`` over ``rows (_id, _tk, ws)`` where the prefix table is too large for a broadcast."""
     around = range(1 - window, window)
+    slot = F.pmod(F.xxhash64("token"), F.lit(SLOTS)).alias("slot")
+    slots = F.broadcast(prefixes.select(slot).distinct())
+    placed = rows.select(*ROW_KEY, "ws", F.posexplode("ws").alias("pos", "token")).select("*", slot)
     # Taken before the join, and as columns without a lambda for the same reason as above.
-    placed = rows.select(*ROW_KEY, "ws", F.posexplode("ws").alias("pos", "token")).select(
+    placed = placed.join(slots, "slot", "left_semi").select(
         *ROW_KEY, "pos", "token", *(F.get("ws", F.col("pos") + k).alias(f"w{k + window - 1}") for k in around)
     )
     same = _same([F.col(f"w{k}") for k in range(2 * window - 1)])
