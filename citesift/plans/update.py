@@ -54,9 +54,9 @@ def error_tables(scores: DataFrame, articles: DataFrame, cutoff: float = ERROR_C
 
 
 def save_tables(
-    new_scores: DataFrame, new: DataFrame, scores: DataFrame, old: DataFrame, path: str, slices: int = 1
+    new_scores: DataFrame, new: DataFrame, scores: DataFrame, old: DataFrame, path: str, slices: int | None = None
 ) -> None:
-    """Ranked tables of new and of misclassified articles under ``path``, each in ``slices`` files."""
+    """Ranked tables of new and of misclassified articles under ``path``, each in ``slices`` files, see ``write_in_order``."""
     write_ranked(export.ranked_export(durable(new_scores, "scores"), new), f"{path}/new_articles", slices)
     for name, table in error_tables(scores, old).items():
         write_ranked(table, f"{path}/{name}", slices)

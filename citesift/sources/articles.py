@@ -167,12 +167,16 @@ def write_label_file(titles: DataFrame, path: str) -> None:
     titles.select(encode_title(F.col("title")).alias("title")).write.csv(path, sep="|", header=True, quote="", escapeQuotes=False)
 
 
-def write_in_order(df: DataFrame, path: str, order: Sequence[Column], kind: str, slices: int, **options) -> None:
+def write_in_order(
+    df: DataFrame, path: str, order: Sequence[Column], kind: str, slices: int | None = None, **options
+) -> None:
     """Numbered files whose rows, read in the order of their names, rise along ``order``.
 
-    Rows are cut into ranges of ``order``, one file for each of about ``slices`` ranges.
+    Rows are cut into ranges of ``order``, one file for each of about ``slices`` ranges; by default
+    of as many as the session shuffles in, of which small neighbours are merged.
     """
-    placed = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    ranges = df.repartitionByRange(*order) if slices is None else df.repartitionByRange(slices, *order)
+    placed = ranges.sortWithinPartitions(*order)
     placed.write.format(kind).options(**options).save(path)
 
 
@@ -191,6 +195,6 @@ def read_curves(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("x double, y double, plot string, fold string").csv(path, header=True)
 
 
-def write_ranked(ranked: DataFrame, path: str, slices: int = 1) -> None:
-    """JSON rows of one export table in the order of their ``rank``, in ``slices`` files."""
+def write_ranked(ranked: DataFrame, path: str, slices: int | None = None) -> None:
+    """JSON rows of one export table in the order of their ``rank``, in ``slices`` files, see ``write_in_order``."""
     write_in_order(ranked, path, [F.col("rank")], "json", slices)
