@@ -349,14 +349,16 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``."""
     rows = packed(docs)
     may = F.coalesce(F.col("_row.text").rlike(MAYBE), F.lit(False))
-    found = durable(_detected(rows.filter(may).select(*ROW_KEY, F.col("_row.text").alias("text")).distinct()), "detected")
+    # Kept, as the filter over all texts costs more than all that follows.
+    hits = durable(rows.filter(may), "maybe")
+    found = durable(_detected(hits.select(*ROW_KEY, F.col("_row.text").alias("text")).distinct()), "detected")
     table = surrogates(found.select("kind", "entity"), key)
     edits = (
         found.join(table, ["kind", "entity"])
         .groupBy(*ROW_KEY)
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "surrogate"))).alias("edits"), F.sum("first").alias("n"))
     )
-    changed = rows.filter(may).join(edits, ROW_KEY, "left").select("_row", "edits", "n", F.col("_row.text").alias("text"))
+    changed = hits.join(edits, ROW_KEY, "left").select("_row", "edits", "n", F.col("_row.text").alias("text"))
     same = rows.filter(~may).select("_row", F.lit(0).cast("long").alias("n"), F.col("_row.text").alias("new"))
     every = _edited(changed).select("_row", "n", "new").unionAll(same)
     count = F.col("n").cast("long")

@@ -5,9 +5,14 @@ import os
 
 from pyspark.sql import functions as F
 
+from citesift.llm import pii
 from citesift.sources import articles as files
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_ranked_table_is_written_by_several_tasks(spark, tmp_path):
     table = spark.range(60000).select((F.col("id") * 7919 % 60000 + 1).alias("rank"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("title"))
     files.write_ranked(table, str(tmp_path / "r"))
@@ -15,3 +20,11 @@ def test_a_ranked_table_is_written_by_several_tasks(spark, tmp_path):
     assert len(names) > 1
     ranks = [json.loads(line)["rank"] for n in names for line in open(tmp_path / "r" / n)]
     assert ranks == list(range(1, 60001))
+
+
+def test_every_text_passes_the_prefilter_of_personal_data_once_more_only(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd now"), (2, "nothing here"), (None, None)], "doc_id long, text string")
+    out = pii.replace_entities(docs, b"key")
+    assert _plan(out).count("RLIKE") + _plan(out).count("rlike") == 1
+    got = {r.doc_id: (r.text, r.n_entities) for r in out.collect()}
+    assert got[2] == ("nothing here", 0) and got[None] == (None, 0) and got[1][1] == 1 and "a@b.cd" not in got[1][0]
