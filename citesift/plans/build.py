@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citesift.operators import articles as ops
 from citesift.operators import retrieval as ret
+from citesift.session import durable
 from citesift.sources.pages import Selector, with_fields
 
 # Where the article pages keep their fields.
@@ -34,7 +35,9 @@ def articles_from_pages(
     found = ret.merge_queries(extracted, with_order=True).withColumn("url", ops.article_url(F.col("pubmed_id"), url_prefix))
     # Blocks stay apart, or the last word of one would run into the first of the next.
     fields = with_fields(pages, {"title": title, "abstract": abstract}, {"publication_types": types}, "\n")
-    return found.join(fields.drop("html"), "url").select(
+    # Stored, or a later filter on titles is pushed below the scan and scans every page again.
+    fields = durable(fields.drop("html"), "fields")
+    return found.join(fields, "url").select(
         "url",
         "publication_date",
         "publication_types",

@@ -9,7 +9,7 @@ from citesift.operators import articles as ops
 from citesift.operators import retrieval as ret
 from citesift.plans import build
 from citesift.registry import views
-from citesift.session import scratch_path
+from citesift.session import scratch_path, spread
 from citesift.sources import articles as files
 from citesift.sources.pages import Selector, with_fields
 
@@ -143,7 +143,7 @@ def _pages(spark, sf_dir) -> DataFrame:
         F.lit('</p></div></div></div><div id="publication-types"><h3>Types</h3><ul>'), F.array_join(buttons, ""),
         F.lit("</ul></div><ul><li><div><button>Cite</button></div></li></ul></body>"),
     )
-    return views.articles(spark, sf_dir).select("url", html.alias("html"))
+    return spread(views.articles(spark, sf_dir), views.PARTS, "article_id").select("url", html.alias("html"))
 
 
 def build_articles(spark, sf_dir) -> DataFrame:
