@@ -40,7 +40,7 @@ def _arguments() -> argparse.Namespace:
         job.add_argument("--grid-points", type=int, default=200, help="values of C to try, 0 for no search")
         job.add_argument("--store", help="keep each finished fold here, and go on from those that are there")
         job.add_argument("--parts", type=int, help="parts to work on texts in, for tables of few files")
-    job.add_argument("--slices", type=int, default=1, help="files of each ranked table")
+    job.add_argument("--slices", type=int, help="files of each ranked table; by default as many as the session shuffles in")
     for job in jobs.choices.values():
         job.add_argument("--out", required=True)
     return parser.parse_args()
