@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citesift.llm.common import ROW_KEY, components, keyed, packed, release, scratch, unpacked
+from citesift.llm.common import ROW_KEY, components, keyed, packed, pieces, release, scratch, unpacked
 from citesift.session import durable
 
 SHINGLE = 5
@@ -56,7 +56,7 @@ KNOWN_FREQUENT = 1 << 18
 UNIVERSE = 1 << 20
 SEED = 20240611
 # Words remembered per worker, and shingles handled at once.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 1 << 17
 CHUNK = 4096
 
 
@@ -138,7 +138,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """``_id, _tk, doc_id, n, cls, bands``; a text without words has no class and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, cls, bands = [], [], []
             for text in batch.column(3):
                 found = shingles(text.as_py())
@@ -161,7 +161,7 @@ def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     texts = keyed(docs, "text").join(chosen, ROW_KEY).dropDuplicates(ROW_KEY).select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
@@ -202,7 +202,7 @@ def rare_groups(members: DataFrame, sets: DataFrame, known: DataFrame | None) ->
     frequent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keys = [leading(x.values.to_numpy(zero_copy_only=False), frequent.value) for x in batch.column(3)]
             at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             columns = [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))]

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citesift.llm.common import pieces
 from citesift.session import durable
 
 # A bucket's number fits in 16 bits.
@@ -54,7 +55,7 @@ SCALE = 20.0
 THRESHOLD = 0.7
 # Shorter texts are averaged as if they had so many different words.
 FEWEST = 20
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 # Texts whose new words are hashed together.
 TEXTS = 64
 
@@ -198,9 +199,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     small = sizes.withColumn("sum", F.sum("size").over(before)).filter(F.col("sum") <= 2 * MAX_ENTRIES).select("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema=_BAGS).sort_by("doc_id")
-        columns = [[np.frombuffer(x.as_buffer(), kind) for x in table.column(name)] for name, kind in (("buckets", np.uint16), ("shares", np.float32))]
-        towards, bias = fit(list(zip(*columns)), np.array(table.column("toxic").to_pylist(), np.int64))
+        # Views of the batches as they came: a sorted table would hold every bag twice.
+        rows = []
+        for batch in pieces(batches):
+            views = [[np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)] for k, kind in ((3, np.uint16), (4, np.float32))]
+            rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *views)
+        rows.sort(key=lambda r: r[0])
+        towards, bias = fit([r[2:] for r in rows], np.array([r[1] for r in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([towards.tobytes()], pa.binary()), pa.array([bias])], names=["towards", "bias"])
 
     sampled = bags.join(F.broadcast(small), "doc_id").select(*_BAGS.names).repartition(1)
@@ -215,7 +220,7 @@ _BAGS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("order", pa.i
 
 def _bags(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [bag(x.as_py()) for x in batch.column(3)]
             bodies = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *bodies], names=_BAGS.names)
@@ -250,7 +255,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket, bias = shared.value
         scores = _WordScores(by_bucket)
-        for batch in batches:
+        for batch in pieces(batches):
             sums = []
             texts = batch.column(at)
             for start in range(0, len(texts), TEXTS):
