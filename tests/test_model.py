@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from citesift.operators import features as feat
 from citesift.operators import model
 from citesift.operators.articles import temporal_split
-from citesift.operators.feature_sets import feature_set
+from citesift.operators.feature_sets import feature_set, fitted_features
 from citesift.operators.topics import Topics, topic_coherence, window_counts
+from citesift.operators.variational import TopicModel
 from citesift.plans import evaluate, update
 from citesift.registry import views
 from citesift.registry.modelling import MODEL_QUERIES
@@ -254,3 +255,27 @@ def test_a_stopped_evaluation_goes_on_where_it_was(spark, tmp_path, monkeypatch,
         assert gap.agg(F.max(F.abs(F.col("a.relevance") - F.col("b.relevance")))).first()[0] < 1e-6
     with pytest.raises(ValueError, match="other settings"):
         evaluate.cross_validate(articles, MODEL_QUERIES, replace(chosen, c=0.1), store)
+
+
+@pytest.mark.parametrize("kind", ["simple", "full"])
+def test_features_of_all_rows_are_worked_out_once(spark, monkeypatch, kind):
+    """The same features as by fitting on the training rows and transforming all rows, with every topic inferred once."""
+    rows = [
+        (i, None if i == 7 else i % 3, f"word{i % 4} common{i % 2} term{i % 5} rare risk{i % 3}".split() * 3, "Clinical Trial" if i % 2 else None)
+        for i in range(60)
+    ]
+    records = spark.createDataFrame(rows, "article_id long, fold int, tokens array<string>, publication_types string").persist()
+    arguments = {"n_topics": 3, "lda_iterations": 2, "no_below": 2}
+    fitted = feature_set(kind, records.filter("fold <> 0"), MODEL_QUERIES, **arguments)
+    expected = {r[0]: r[1] for r in fitted.transform(records, ["article_id"]).collect()}
+    # Sums of a fit are added in any order, so a second one is equal only up to its tolerance.
+    for topics in [f for f in fitted.families if isinstance(f, Topics)]:
+        monkeypatch.setattr(Topics, "fit", lambda *a, topics=topics, **k: topics)
+    shares, asked = TopicModel.shares, []
+    monkeypatch.setattr(TopicModel, "shares", lambda *a: asked.append(a) or shares(*a))
+    once, found = fitted_features(kind, records, F.col("fold") != 0, MODEL_QUERIES, ["article_id"], **arguments)
+    assert found.columns == ["article_id", "features"] and once.names == fitted.names
+    got = {r[0]: r[1] for r in found.collect()}
+    assert got.keys() == expected.keys() and len(asked) == (kind == "full")
+    assert max(abs(a - b) for i in got for a, b in zip(got[i], expected[i], strict=True)) < 1e-9
+    records.unpersist()
